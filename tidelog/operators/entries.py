@@ -101,7 +101,8 @@ def parse_headers(lines: DataFrame, layouts: list[T.Layout], *, line: str = "lin
     def which(s: Column) -> Column:
         hid = None
         for i, lay in enumerate(layouts):
-            hid = F.when(s["p"].rlike(lay.regex), i) if hid is None else hid.when(s["p"].rlike(lay.regex), i)
+            hit = F.substring(s["p"], 1, 1).isin(list(lay.first)) & s["p"].rlike(lay.regex)
+            hid = F.when(hit, i) if hid is None else hid.when(hit, i)
         return F.lit(None).cast("int") if hid is None else hid
 
     def pick(role: str):

@@ -51,17 +51,28 @@ NAME = r"[A-Za-z_][\w\-]*(?:\.[\w\-]+)*"
 
 def plain(line: Column) -> Column:
     """The line without colour codes and trailing white space."""
-    return F.rtrim(F.regexp_replace(F.regexp_replace(line, ESCAPES, ""), r"\s+$", ""))
+    bare = F.when(F.contains(line, F.lit("\x1b")), F.regexp_replace(line, ESCAPES, "")).otherwise(line)
+    return F.rtrim(bare, F.lit(" \t\r\n\x0b\x0c"))
+
+
+def alike(line: Column) -> Column:
+    """A cheap first reduction, after which equal lines are counted once: every
+    digit as 0, long hexadecimal ids as one, runs of small words as one word,
+    free-standing numbers (not parts of times or addresses) at one length."""
+    c = F.translate(plain(line), "123456789", "0" * 9)
+    c = F.regexp_replace(c, r"\b0*[a-f][0a-f-]{5,}\b", "a0")
+    c = F.regexp_replace(c, r"(?<= )[a-z]{2,}+(?:,? [a-z]{2,}+)+(?= )", "w")
+    return F.regexp_replace(c, r"(?<=[ =])0{2,9}(?=[ ,a-z\]\"]|$)|(?<=[ =])0{1,9}\.0+(?=[a-z])", "0")
 
 
 def mask(line: Column) -> Column:
-    """The shape of a line: each token replaced by its kind, keys and punctuation kept."""
-    c = F.regexp_replace(plain(line), r"[\ue000-\ue0ff]", "?")
+    """The shape of a plain line: each token replaced by its kind, keys and punctuation kept."""
+    c = F.regexp_replace(line, r"[\ue000-\ue0ff]", "?")
     for kind, pattern in TIMES.items():
         if kind == COMPACT:
             c = F.regexp_replace(c, rf"(?<=^[A-Z]){pattern}", kind)
         else:
-            c = F.regexp_replace(c, rf"(?<![\w.:-]){pattern}(?![\w-])(?!:\d)", kind)
+            c = F.regexp_replace(c, rf"(?<![\w.:-]){pattern.replace('1', '[01]', 1) if pattern[0] == '1' else pattern}(?![\w-])(?!:\d)", kind)
     c = F.regexp_replace(c, r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b", ADDRESS)
     c = F.regexp_replace(c, r'"([@\w.\-]+)"\s*:\s*', f"{JKEY0}$1{JKEY1}")
     c = F.regexp_replace(c, r"(?<![\w./=?&-])([A-Za-z_][\w.]*)=(?!=)", f"{FKEY0}$1{FKEY1}")
@@ -129,6 +140,18 @@ class Layout:
     level: int = 0
     component: int = 0
 
+    @property
+    def first(self) -> str:
+        """The characters a line of this layout may start with."""
+        r = self.regex[1:]
+        if r.startswith(("(?=\\{", "\\[", "\\(", "\\<", "<")):
+            return next(x for x in r if x in "{[(<" and r[r.index(x) - 1] in "\\^" or x == "<")
+        if r.startswith("(?="):
+            return r[3]
+        if r.startswith("((?:Jan"):
+            return "JFMASOND"
+        return "".join(map(chr, (*range(65, 91), *range(97, 123)))) if r.startswith("([A-Z") else "0123456789"
+
     @property
     def key(self) -> str:
         return f"{self.regex}\x00{self.time}\x00{self.kind}\x00{self.level}\x00{self.component}"
@@ -308,7 +331,8 @@ def mine(df: DataFrame, line: str, *, partitions: int = 16, similarity: float =
     partition of shapes, and the partition templates merged by layout. The
     number of rows depends on how many ways of writing there are, not on lines.
     """
-    shapes = df.where(F.col(line).isNotNull()).select(mask(F.col(line)).alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("lines"))
+    first = df.where(F.col(line).isNotNull()).select(alike(F.col(line)).alias("z")).groupBy("z").agg(F.count(F.lit(1)).alias("n"))
+    shapes = first.select(mask(F.col("z")).alias("shape"), "n").groupBy("shape").agg(F.sum("n").alias("lines"))
 
     def rows(found: list[tuple[list[str], int]]) -> pd.DataFrame:
         got = []
