@@ -128,18 +128,16 @@ def fence(inputs: list[Column], body) -> Column:
 
 
 def _power(base: int, k: Column) -> Column:
-    """``base ** k`` modulo P for k below 2**40, in long arithmetic."""
-    out, b = F.lit(1).cast("bigint"), base % P
-    for bit in range(40):
-        if bit in (8, 16, 24, 32):  # most positions are small: the higher bits are skipped as a whole
-            high, inner, bb = out, out, b
-            for deep in range(bit, 40):
-                inner = F.when(F.shiftrightunsigned(k, deep).bitwiseAND(F.lit(1)) == 1, inner * bb % P).otherwise(inner)
-                bb = bb * bb % P
-            return F.when(k < (1 << bit), high).otherwise(inner)
-        out = F.when(F.shiftrightunsigned(k, bit).bitwiseAND(F.lit(1)) == 1, out * b % P).otherwise(out)
-        b = b * b % P
-    return out
+    """``base ** k`` modulo P for k below 2**40, from tables of 32 powers.
+
+    Most lines stand near their head, so one look-up does; the further tables
+    are only consulted beyond.
+    """
+    at = lambda j: F.get(F.array(*[F.lit(pow(base, i << (5 * j), P)).cast("bigint") for i in range(32)]), F.shiftrightunsigned(k, 5 * j).bitwiseAND(F.lit(31)).cast("int"))
+    out = at(0)
+    for j in range(1, 8):
+        out = out * at(j) % P
+    return F.when(k < 32, at(0)).otherwise(out)
 
 
 def group_entries(parsed: DataFrame, *, text: Column | None = None, block: int = BLOCK) -> DataFrame:
