@@ -5,11 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import leaks, runs
+from tidelog.llm import digests, leaks, mixing, runs, subjects
 from tidelog.runtime import table
 
 
+def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """All percentiles with stated bound and certified error."""
+    return digests.all_percentiles(table(spark, d, "log_metric"), table(spark, d, "endpoint_latency"))
+
+
+def p1_certified(spark: SparkSession, d: str) -> DataFrame:
+    """Per name and quantile: how many values there are, and whether the
+    counted rank error keeps the stated bound."""
+    rows = digests.first_deliveries(table(spark, d, "log_metric"))
+    keys = ["metric_name"]
+    sure = digests.certify(rows, digests.percentiles(digests.merge(digests.build(rows, keys, "metric_value"), keys), keys), keys, "metric_value")
+    return sure.select("metric_name", "quantile", "n", (F.col("error") <= F.col("bound")).alias("within_bound"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = runs.found_runs(table(spark, d, "log_entry"), table(spark, d, "dedup_group"))
     return found.select("source_table", "first_id", "last_id", "event_count")
@@ -19,12 +34,36 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The multiset of each mix: copies of each document."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares each source reached, in tokens."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(table(spark, d, "documents"), table(spark, d, "subject_label"))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the corpus by subject."""
+    docs = table(spark, d, "documents")
+    return subjects.composition(docs, subjects.subjects(docs, table(spark, d, "subject_label")), table(spark, d, "subject_area"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p8_found)}
+    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p8_found, p9_mix, p9_shares, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_certified": """WITH once AS (SELECT metric_name, metric_value FROM log_metric
+    QUALIFY metric_id IS NULL OR row_number() OVER (PARTITION BY metric_id ORDER BY batch_day NULLS FIRST, ts NULLS FIRST, metric_name NULLS FIRST, labels['service'] NULLS FIRST, metric_value NULLS FIRST) = 1),
+ n AS (SELECT metric_name, count(*) AS n FROM once WHERE metric_value IS NOT NULL AND NOT isnan(metric_value) GROUP BY 1)
+SELECT metric_name, quantile, n, TRUE AS within_bound FROM n, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (0.999::DOUBLE)) AS q(quantile)""",
         "p8_found": r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS ws FROM eval_item),
  g AS (SELECT DISTINCT item_id, array_to_string(ws[i:i+12], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
  d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
