@@ -158,7 +158,8 @@ def group_entries(parsed: DataFrame, *, text: Column | None = None, block: int =
     seg = narrow.withColumn("hid", F.sum("head").over(w))
     aggs = [F.count(F.lit(1)).alias("n"), F.min("f").alias("f")]
     if text is not None:
-        seg = seg.withColumn("j", (F.row_number().over(W.partitionBy(*keys, "hid").orderBy("row_id", "line_no")) - 1).cast("bigint"))
+        seg = seg.withColumn("rn", F.row_number().over(w).cast("bigint"))
+        seg = seg.withColumn("j", F.col("rn") - F.coalesce(F.max(F.when(F.col("head") == 1, F.col("rn"))).over(w), F.lit(1).cast("bigint")))
         parts = (F.pmod(F.col("x"), F.lit(P)), F.pmod(F.shiftright("x", 31), F.lit(P)))
         aggs += [(F.sum(p * _power(b, F.col("j")) % P) % P).alias(f"d{i}") for i, (b, p) in enumerate(zip(BASES, parts))]
     seg = seg.groupBy(*keys, "hid").agg(*aggs)
