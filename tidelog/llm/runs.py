@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import entries as E
 from tidelog.operators import templates as T
+from tidelog.runtime import cut
 
 BLOCK = 1 << 18
 REPEATED = r"(?:^|[ :])(?:last )?message repeated (\d{1,15}) times(?::? *\[ .*\])?\s*$"
-TIMES = r"\d{1,2}/[a-z]{3}/\d{4}:\d\d:\d\d:\d\d(?: [+-]\d{4})?|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec) +\d{1,2} \d\d:\d\d:\d\d"
+TIMES = r"\d{1,2}/[a-z]{3}/\d{4}:\d\d:\d\d:\d\d(?: [+-]\d{4})?|[adfjmnos](?:an|eb|ar|pr|ay|un|ul|ug|ep|ct|ov|ec) +\d{1,2} \d\d:\d\d:\d\d"
 UNITS = r"# ?(?:ns|us|µs|ms|s|secs?|seconds?|min|mins|minutes?|h|hours?|bytes|[kmgt]?i?b)\b"
 
 
@@ -35,7 +36,7 @@ def constant_text(line: Column) -> Column:
     c = F.regexp_replace(c, r"(?<![\w])[+-]?(?:[a-z_][a-z_.@-]*+)?\d[\w.:+@-]*%?", "#")
     c = F.regexp_replace(c, r"#(?:,#)+", "#")
     c = F.regexp_replace(c, UNITS, "#")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"\s\s+|[\t\r\n]", " "))
 
 
 def jaccard(a: frozenset, b: frozenset) -> float:
@@ -143,7 +144,7 @@ def collapse(events: DataFrame, *, min_similarity: float = 1.0, max_gap_us: int
         "toks", F.coalesce("weight", F.lit(1)).cast("bigint").alias("weight"), F.coalesce("first_us", F.lit(0)).alias("first_us"), F.coalesce("last_us", "first_us", F.lit(0)).alias("last_us"), F.coalesce("repeat", F.lit(False)).alias("repeat"),
     )
     blocks = ready.repartition("source_table", "stream", "block").sortWithinPartitions("source_table", "stream", "block", "id")
-    runs = blocks.mapInPandas(work, RUN)
+    runs = cut(blocks.mapInPandas(work, RUN))  # read twice below
     w = W.partitionBy("source_table", "stream").orderBy("block", "run")
     sides = runs.where("side = 1").withColumn("eff", F.last("key", ignorenulls=True).over(w))
     prev = F.lag("eff").over(w)
