@@ -60,9 +60,10 @@ def alike(line: Column) -> Column:
     digit as 0, long hexadecimal ids as one, runs of small words as one word,
     free-standing numbers (not parts of times or addresses) at one length."""
     c = F.translate(plain(line), "123456789", "0" * 9)
-    c = F.regexp_replace(c, r"\b0*[a-f][0a-f-]{5,}\b", "a0")
+    c = F.regexp_replace(c, r"\b(?:(?=[0a-f]{6})0*[a-f][0a-f-]*|0{8}-[0a-f-]{27}|0x[0a-f]+)\b", "a0")
+    c = F.regexp_replace(c, r"\b0{1,3}\.0{1,3}\.0{1,3}\.0{1,3}(?::0+)?\b", "0.0.0.0")
     c = F.regexp_replace(c, r"(?<= )[a-z]{2,}+(?:,? [a-z]{2,}+)+(?= )", "w")
-    return F.regexp_replace(c, r"(?<=[ =])0{2,9}(?=[ ,a-z\]\"]|$)|(?<=[ =])0{1,9}\.0+(?=[a-z])", "0")
+    return F.regexp_replace(c, r"(?<=[ =(])0{2,9}(?=[ ,a-z\]\")%]|$|: )|(?<=[a-z][/-])0{2,9}(?=[ ,\]\")]|$)|(?<=[ =])0{1,9}\.0+(?=[a-z])", "0")
 
 
 def mask(line: Column) -> Column:
