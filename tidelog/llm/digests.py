@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,46 +62,67 @@ def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, lo: np.ndar
     return group[start], m, w, low, high
 
 
-def estimate(q: float, n: int, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> float:
-    """The value at rank ceil(q*n): between the ends of the centroid that covers it."""
-    rank = max(1, math.ceil(q * n - 1e-9))
+def estimates_at(q: float, n: np.ndarray, sizes: np.ndarray, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each group the value at rank ceil(q*n): between the ends of the
+    centroid that covers it. ``sizes`` tells how many centroids each group has."""
     upto = np.cumsum(weight)
-    i = min(int(np.searchsorted(upto, rank)), len(weight) - 1)
-    w = int(weight[i])
-    at = rank - (int(upto[i]) - w)
-    if w == 1 or lo[i] == hi[i] or not (np.isfinite(lo[i]) and np.isfinite(hi[i])):
-        return float(lo[i] if at <= w / 2 else hi[i])
-    return float(lo[i] + (hi[i] - lo[i]) * (at - 1) / (w - 1))
+    first = np.cumsum(sizes) - sizes
+    base = (upto - weight)[first]
+    rank = np.maximum(1, np.ceil(q * n - 1e-9)).astype(np.int64)
+    i = np.minimum(np.searchsorted(upto, base + rank), first + sizes - 1)
+    w, low, high = weight[i], lo[i], hi[i]
+    at = base + rank - (upto[i] - w)
+    between = (w > 1) & (low != high) & np.isfinite(low) & np.isfinite(high)
+    with np.errstate(invalid="ignore"):
+        inner = low + (high - low) * ((at - 1) / np.maximum(w - 1, 1))
+    return np.where(between, inner, np.where(at <= w / 2, low, high))
+
+
+def estimate(q: float, n: int, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> float:
+    """:func:`estimates_at` of one digest."""
+    return float(estimates_at(q, np.array([n]), np.array([len(weight)]), weight, lo, hi)[0])
+
+
 
 
-def _pack(keys: pd.DataFrame, group, mean, weight, lo, hi) -> pd.DataFrame:
+
+def _codes(t: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Group number of each row and the first row of each group (null is a key)."""
+    code = np.zeros(len(t), np.int64)
+    for k in keys:
+        d = t[k].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = pd.factorize(code * max(len(d.dictionary), 1) + d.indices.to_numpy(zero_copy_only=False).astype(np.int64))[0].astype(np.int64)
+    first = np.full(int(code.max(initial=-1)) + 1, -1, np.int64)
+    first[code[::-1]] = np.arange(len(t) - 1, -1, -1)
+    return code, first
+
+
+def _pack(keys: pa.Table, group, mean, weight, lo, hi) -> pa.Table:
+    """Digests as rows: ``keys`` has one row per group number."""
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    ends = np.concatenate((first[1:], [len(group)]))
-    out = keys.iloc[group[first]].reset_index(drop=True)
-    out["n"] = np.add.reduceat(weight, first)
-    for name, x in (("mean", mean), ("weight", weight), ("lo", lo), ("hi", hi)):
-        out[name] = [x[a:b].tolist() for a, b in zip(first, ends)]
+    offsets = pa.array(np.concatenate((first, [len(group)])).astype(np.int32))
+    out = keys.take(pa.array(group[first])) if keys.num_columns else pa.table({})
+    lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
+    for name, col in (("n", pa.array(np.add.reduceat(weight, first))), ("mean", lists(mean)), ("weight", lists(weight)), ("lo", lists(lo)), ("hi", lists(hi))):
+        out = out.append_column(name, col)
     return out
 
 
+def _flat(t: pa.Table, name: str, dtype) -> np.ndarray:
+    c = t[name].combine_chunks()
+    return c.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+
+
+def _sizes(t: pa.Table) -> np.ndarray:
+    c = t["weight"].combine_chunks()
+    return np.diff(c.offsets.to_numpy())
+
+
 def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
     types = dict(df.dtypes)
     return ", ".join(f"`{k}` {types[k]}" for k in keys)
 
 
-def _codes(b: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, pd.DataFrame]:
-    """Group numbers of the rows and the distinct keys they stand for (null is a key)."""
-    if not keys:
-        return np.zeros(len(b), np.int64), pd.DataFrame(index=[0])
-    code = np.zeros(len(b), np.int64)
-    for k in keys:
-        c, u = pd.factorize(b[k], use_na_sentinel=False)
-        code = code * max(len(u), 1) + c
-        code = pd.factorize(code)[0].astype(np.int64)
-    first = pd.Series(np.arange(len(b))).groupby(code).first()
-    return code, b[keys].iloc[first.to_numpy()].reset_index(drop=True)
-
-
 def build(df: DataFrame, keys: Sequence[str], value: str, *, delta: int = DELTA) -> DataFrame:
     """Partial digests: rows are clustered where they are read, before any shuffle.
 
@@ -110,69 +132,67 @@ def build(df: DataFrame, keys: Sequence[str], value: str, *, delta: int = DELTA)
     """
     keys = list(keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         rows = 0
 
-        def flush() -> pd.DataFrame:
-            b = pd.concat(held, ignore_index=True)
-            v = b["_v"].to_numpy(float)
-            code, distinct = _codes(b, keys)
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            v = t["_v"].to_numpy()
+            code, first = _codes(t, keys)
             order = np.lexsort((v, code))
-            g, x = code[order], v[order]
-            return _pack(distinct, *cluster(g, x, np.ones(len(x), np.int64), x, x, delta))
+            x = v[order]
+            made = _pack(t.select(keys).take(pa.array(first)), *cluster(code[order], x, np.ones(len(x), np.int64), x, x, delta))
+            return iter(made.to_batches(max_chunksize=20_000))
 
         for b in batches:
-            if len(b):
+            if b.num_rows:
                 held.append(b)
-                rows += len(b)
+                rows += b.num_rows
             if rows >= FLUSH_ROWS:
-                yield flush()
+                yield from flush()
                 held, rows = [], 0
         if rows:
-            yield flush()
+            yield from flush()
 
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
-    return rows.mapInPandas(run, f"{_ddl(df, keys)}, {DIGEST}" if keys else DIGEST)
+    return rows.mapInArrow(run, f"{_ddl(df, keys)}, {DIGEST}" if keys else DIGEST)
 
 
 def _merge_once(partials: DataFrame, keys: list[str], spread: list[str], delta: int) -> DataFrame:
     by = keys + spread
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def close(frames: pd.DataFrame) -> pd.DataFrame:
-            code, distinct = _codes(frames, by)
-            sizes = frames["mean"].str.len().to_numpy()
-            g = np.repeat(code, sizes)
-            cat = lambda c, t: np.concatenate([np.asarray(x, t) for x in frames[c]])
-            m, w, lo, hi = cat("mean", float), cat("weight", np.int64), cat("lo", float), cat("hi", float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            code, first = _codes(t, by)
+            g = np.repeat(code, _sizes(t))
+            m, w, lo, hi = _flat(t, "mean", float), _flat(t, "weight", np.int64), _flat(t, "lo", float), _flat(t, "hi", float)
             order = np.lexsort((hi, lo, m, g))
-            out = _pack(distinct, *cluster(g[order], m[order], w[order], lo[order], hi[order], delta))
-            return out.drop(columns=spread)
+            made = _pack(t.select(keys).take(pa.array(first)), *cluster(g[order], m[order], w[order], lo[order], hi[order], delta))
+            return iter(made.to_batches(max_chunksize=20_000))
 
-        # rows come sorted by group: whole groups are closed as soon as a batch is full
+        # rows come sorted by group: whole groups are closed as soon as enough are held
+        held: list[pa.Table] = []
         total = 0
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            held.append(b)
-            total += int(b["mean"].str.len().sum())
+            held.append(pa.Table.from_batches([b]))
+            total += int(_sizes(held[-1]).sum())
             if total > 1_000_000:
-                all_rows = pd.concat(held, ignore_index=True)
-                code, _ = _codes(all_rows, by)
-                open_group = code == code[-1]
-                if not open_group.all():
-                    yield close(all_rows[~open_group].reset_index(drop=True))
-                    rest = all_rows[open_group].reset_index(drop=True)
-                    held, total = [rest], int(rest["mean"].str.len().sum())
+                t = pa.concat_tables(held)
+                code, _ = _codes(t, by)
+                closed = int(np.argmax(code == code[-1]))
+                if closed:
+                    yield from close(t.slice(0, closed))
+                held = [t.slice(closed).combine_chunks()]
+                total = int(_sizes(held[0]).sum())
         if held:
-            yield close(pd.concat(held, ignore_index=True))
+            yield from close(pa.concat_tables(held))
 
     cols = [*by, "n", "mean", "weight", "lo", "hi"]
     placed = partials.select(*cols).repartition(*by).sortWithinPartitions(*by) if by else partials.select(*cols).coalesce(1)
-    return placed.mapInPandas(run, (f"{_ddl(partials, keys)}, " if keys else "") + DIGEST)
+    return placed.mapInArrow(run, (f"{_ddl(partials, keys)}, " if keys else "") + DIGEST)
 
 
 def merge(partials: DataFrame, keys: Sequence[str], *, delta: int = DELTA, salts: int = 16, levels: int = 2) -> DataFrame:
@@ -193,24 +213,23 @@ def percentiles(digests: DataFrame, keys: Sequence[str], quantiles: Sequence[flo
     and whether the digest is ``exact`` (no centroid blurs its values)."""
     keys = list(keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {k: [] for k in [*keys, "n", "quantile", "estimate", "bound", "exact"]}
-            for row in b.to_dict("records"):
-                weight, lo, hi = np.asarray(row["weight"]), np.asarray(row["lo"]), np.asarray(row["hi"])
-                exact = bool((lo == hi).all())
-                for q in quantiles:
-                    for k in keys:
-                        out[k].append(row[k])
-                    out["n"].append(row["n"])
-                    out["quantile"].append(q)
-                    out["estimate"].append(estimate(q, row["n"], weight, lo, hi))
-                    out["bound"].append(rank_bound(q, row["n"], delta))
-                    out["exact"].append(exact)
-            yield pd.DataFrame(out)
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            n, sizes = t["n"].to_numpy(), _sizes(t)
+            weight, lo, hi = _flat(t, "weight", np.int64), _flat(t, "lo", float), _flat(t, "hi", float)
+            exact = np.minimum.reduceat(lo == hi, np.cumsum(sizes) - sizes)
+            for q in quantiles:
+                out = t.select([*keys, "n"])
+                bound = 4 * math.pi / delta * math.sqrt(q * (1 - q)) + (2 * math.pi / delta) ** 2 + 1.0 / np.maximum(n, 1)
+                for name, x in (("quantile", np.full(len(n), q)), ("estimate", estimates_at(q, n, sizes, weight, lo, hi)), ("bound", bound), ("exact", exact)):
+                    out = out.append_column(name, pa.array(x))
+                yield from out.combine_chunks().to_batches()
 
     schema = (f"{_ddl(digests, keys)}, " if keys else "") + "n bigint, quantile double, estimate double, bound double, exact boolean"
-    return digests.select(*keys, "n", "weight", "lo", "hi").mapInPandas(run, schema)
+    return digests.select(*keys, "n", "weight", "lo", "hi").mapInArrow(run, schema)
 
 
 #: Estimates are broadcast to the counting pass up to so many groups (about 200 bytes each).
@@ -227,22 +246,28 @@ def certify(df: DataFrame, estimates: DataFrame, keys: Sequence[str], value: str
     else joined by their key.
     """
     keys = list(keys)
+    size = len(QUANTILES)
     estimates = cut(estimates)
-    wide = estimates.where("not exact").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("quantile", "estimate", "n", "bound"))).alias("e"))
+    wide = estimates.where("not exact").groupBy(*keys).agg(*[F.max(F.when(F.col("quantile") == q, F.col("estimate"))).alias(f"e{i}") for i, q in enumerate(QUANTILES)])
     few = wide.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    named = wide.select(*[F.col(k).alias(f"_{k}") for k in keys], "e")
+    named = wide.select(*[F.col(k).alias(f"_{k}") for k in keys], *[f"e{i}" for i in range(size)])
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
     on: Column = F.lit(True)
     for k in keys:
         on = on & rows[k].eqNullSafe(named[f"_{k}"])
     joined = rows.join(F.broadcast(named) if few else named, on)
-    size = len(QUANTILES)
-    counts = joined.groupBy(*keys).agg(*[F.count(F.when(F.col("_v") < F.col("e")[i]["estimate"], 1)).alias(f"b{i}") for i in range(size)], *[F.count(F.when(F.col("_v") == F.col("e")[i]["estimate"], 1)).alias(f"a{i}") for i in range(size)], F.first("e").alias("e"))
-    parts = F.explode(F.array(*[F.struct(F.col("e")[i]["quantile"].alias("quantile"), F.col("e")[i]["estimate"].alias("estimate"), F.col("e")[i]["n"].alias("n"), F.col("e")[i]["bound"].alias("bound"), F.col(f"b{i}").alias("below"), F.col(f"a{i}").alias("at")) for i in range(size)]))
+    less = [F.count(F.when(F.col("_v") < F.col(f"e{i}"), 1)).alias(f"b{i}") for i in range(size)]
+    same = [F.count(F.when(F.col("_v") == F.col(f"e{i}"), 1)).alias(f"a{i}") for i in range(size)]
+    counts = joined.groupBy(*keys).agg(*less, *same)
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(f"b{i}").alias("below"), F.col(f"a{i}").alias("at")) for i, q in enumerate(QUANTILES)]))
+    tall = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], each.alias("r")).select(*[f"_{k}" for k in keys], F.col("r.quantile").alias("_q"), "r.below", "r.at")
+    match = estimates["quantile"] == tall["_q"]
+    for k in keys:
+        match = match & estimates[k].eqNullSafe(tall[f"_{k}"])
     rank = F.ceil(F.col("quantile") * F.col("n") - 1e-9)
-    off = F.greatest(F.col("below") + F.when(F.col("at") > 0, 1).otherwise(0) - rank, rank - F.greatest(F.col("below") + F.col("at"), F.lit(0)), F.lit(0))
-    counted = counts.select(*keys, parts.alias("r")).select(*keys, "r.*").withColumn("error", off / F.col("n"))
+    off = F.greatest(F.col("below") + F.when(F.col("at") > 0, 1).otherwise(0) - rank, rank - (F.col("below") + F.col("at")), F.lit(0))
     cols = [*keys, "n", "quantile", "estimate", "bound", "error"]
+    counted = estimates.where("not exact").join(tall, match).withColumn("error", off / F.col("n"))
     return counted.select(cols).unionByName(estimates.where("exact").withColumn("error", F.lit(0.0)).select(cols))
 
 
