@@ -101,11 +101,11 @@ def _pack(keys: pa.Table, group, mean, weight, lo, hi) -> pa.Table:
     """Digests as rows: ``keys`` has one row per group number."""
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     offsets = pa.array(np.concatenate((first, [len(group)])).astype(np.int32))
-    out = keys.take(pa.array(group[first])) if keys.num_columns else pa.table({})
+    cols = {k: keys[k].take(pa.array(group[first])) for k in keys.column_names}
     lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
     for name, col in (("n", pa.array(np.add.reduceat(weight, first))), ("mean", lists(mean)), ("weight", lists(weight)), ("lo", lists(lo)), ("hi", lists(hi))):
-        out = out.append_column(name, col)
-    return out
+        cols[name] = col
+    return pa.table(cols)
 
 
 def _flat(t: pa.Table, name: str, dtype) -> np.ndarray:
@@ -142,7 +142,7 @@ def build(df: DataFrame, keys: Sequence[str], value: str, *, delta: int = DELTA)
             code, first = _codes(t, keys)
             order = np.lexsort((v, code))
             x = v[order]
-            made = _pack(t.select(keys).take(pa.array(first)), *cluster(code[order], x, np.ones(len(x), np.int64), x, x, delta))
+            made = _pack(t.select(keys).take(pa.array(first)) if keys else pa.table({}), *cluster(code[order], x, np.ones(len(x), np.int64), x, x, delta))
             return iter(made.to_batches(max_chunksize=20_000))
 
         for b in batches:
@@ -168,7 +168,7 @@ def _merge_once(partials: DataFrame, keys: list[str], spread: list[str], delta:
             g = np.repeat(code, _sizes(t))
             m, w, lo, hi = _flat(t, "mean", float), _flat(t, "weight", np.int64), _flat(t, "lo", float), _flat(t, "hi", float)
             order = np.lexsort((hi, lo, m, g))
-            made = _pack(t.select(keys).take(pa.array(first)), *cluster(g[order], m[order], w[order], lo[order], hi[order], delta))
+            made = _pack(t.select(keys).take(pa.array(first)) if keys else pa.table({}), *cluster(g[order], m[order], w[order], lo[order], hi[order], delta))
             return iter(made.to_batches(max_chunksize=20_000))
 
         # rows come sorted by group: whole groups are closed as soon as enough are held
