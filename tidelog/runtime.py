@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,19 @@ def drop_cut(df: DataFrame) -> None:
 def micros(col) -> "F.Column":
     """Epoch microseconds of a timestamp, whatever the session's time zone."""
     return F.unix_micros(F.col(col) if isinstance(col, str) else col)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make sure that Python workers can import this package.
+
+    Where the environment or the working folder already gives it to them there
+    is nothing to do; else the package goes to the executors as a zip file, once
+    a session.
+    """
+    root = Path(__file__).resolve().parent.parent
+    given = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in given or Path.cwd() == root or spark.conf.get("spark.tidelog.shipped", None):
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tidelog-"), "tidelog"), "zip", root, "tidelog")
+    spark.sparkContext.addPyFile(made)
+    spark.conf.set("spark.tidelog.shipped", "true")
