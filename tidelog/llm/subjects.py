@@ -22,11 +22,18 @@ from pyspark.sql import functions as F
 
 from tidelog.runtime import cut
 
-SPLIT = r"(?<=[.!?;])\s+|[\r\n]+"
+SPLIT = r"(?<=[.!?])\s+|[\r\n]+"
+#: A line that goes on in the next one: no stop at its end, a small letter (after a quote mark) at the start of the next.
+WRAPPED = r"(?<![.!?:;\s])[ \t]*\r?\n(?:[ \t]*>)?[ \t]*(?=\p{Ll})"
+#: What programs write, not people: times with seconds, key=value pairs, a level joined to a name.
+MACHINE = r"\d\d:\d\d:\d\d|\b\w+=\S|\b[A-Z]{3,8}[:|/][\w.]"
 WORD = r"[\p{L}][\p{L}-]*"
-SENTENCE, TOKEN = re.compile(r"(?<=[.!?])\s+|[\r\n]+"), re.compile(r"[^\W\d_](?:[^\W\d_]|-)*")
+TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|-)*")
+MIN_EVIDENCE = 2
 #: The rules are fitted on at most so many labelled documents (the smallest hashes of their ids).
 MAX_LABELLED = 50_000
+#: The rules of the first round are spread to so many documents, labelled ones first, to learn rarer words from.
+MAX_SPREAD = 20_000
 #: Bound on the rules that go to each task; about 300 bytes each.
 MAX_RULES = 300_000
 MAX_WORDS = 3
@@ -48,7 +55,9 @@ class Rules:
 
         Of the matching rules only those count that no longer matching rule
         contains. Their evidence is the log of the smoothed class shares; the
-        posterior must reach the calibrated threshold.
+        posterior must reach the calibrated threshold, and at least
+        ``MIN_EVIDENCE`` words must speak for the class: one word alone also
+        stands in sentences about something else.
         """
         have = sorted(self.words.intersection(words))
         if not have:
@@ -68,27 +77,30 @@ class Rules:
         best = max(range(len(score)), key=score.__getitem__)
         top = max(p[best] for _, p in matched)
         odds = sum(math.exp(s - score[best]) for s in score)
-        return best if top / odds >= self.threshold else -1
+        spoken = {w for key, p in matched if p[best] >= 0.5 for w in key}
+        return best if len(spoken) >= MIN_EVIDENCE and top / odds >= self.threshold else -1
 
 
-def split_sentences(text: str) -> list[list[str]]:
-    return [w for s in SENTENCE.split(text) if (w := TOKEN.findall(s.lower()))]
+def prose(text: Column) -> Column:
+    """The sentences of a text: wrapped lines joined, machine lines left out."""
+    return F.filter(F.split(F.regexp_replace(text, WRAPPED, " "), SPLIT), lambda s: ~s.rlike(MACHINE))
 
 
 def _sentences(docs: DataFrame, keep: list[str]) -> DataFrame:
-    parts = F.posexplode(F.split("text", r"(?<=[.!?])\s+|[\r\n]+")).alias("sid", "s")
+    parts = F.posexplode(prose(F.col("text"))).alias("sid", "s")
     words = F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit(WORD), F.lit(0)))
     return docs.select(*keep, parts).select(*keep, "sid", words.alias("words")).where(F.size("words") > 0)
 
 
-def mine_rules(classed: DataFrame, classes: list[str], *, min_support: float = 0.0008, min_count: int = 4, min_confidence: float = 0.35) -> Rules:
+def mine_rules(classed: DataFrame, classes: list[str], *, min_support: float = 0.0015, min_count: int = 4, min_confidence: float = 0.35) -> Rules:
     """Class-association rules from sentences ``(words, classes)``.
 
     First single words are counted per class; a word is kept if its share in
     its best class is surely above ``min_confidence`` (lower Wilson bound at
-    one sigma). Frequent sets of kept words and classes come from parallel
-    FP-growth. A rule is redundant, and dropped, if a part of it already gives
-    every class about the same share (within 0.05).
+    one sigma), however rare. Frequent sets of two and three kept words come
+    from parallel FP-growth. A rule is redundant, and dropped, if a part of it already gives
+    every class about the same share (within 0.05). A set that surely tells no
+    class though its words do is kept: it blocks them where it matches.
     """
     total = classed.count()
     if not total:
@@ -99,6 +111,7 @@ def mine_rules(classed: DataFrame, classes: list[str], *, min_support: float = 0
     p = F.col("k") / F.col("n")
     low = (p + 0.5 / F.col("n") - F.sqrt((p * (1 - p) + 0.25 / F.col("n")) / F.col("n"))) / (1 + 1 / F.col("n"))
     kept = n_wc.where(F.col("c") != NONE).join(n_w, "w").where(low >= min_confidence).select("w").distinct()
+    kept = cut(kept)
     words = [r[0] for r in kept.limit(MAX_RULES + 1).collect()]
     if len(words) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} words tell classes; raise min_count")
@@ -119,17 +132,24 @@ def mine_rules(classed: DataFrame, classes: list[str], *, min_support: float = 0
         raise ValueError(f"more than {MAX_RULES} rules; raise min_support")
     at = {"=" + c: i for i, c in enumerate(classes)}
     table: dict[tuple[str, ...], list[float]] = {}
+    number: dict[tuple[str, ...], int] = {}
+    for w, c, k, n in n_wc.join(kept, "w").join(n_w, "w").select("w", "c", "k", "n").collect():
+        if "=" + c in at:
+            table.setdefault((w,), [0.0] * len(classes))[at["=" + c]] = k / (n + 1.0)
     for r in got:
         share = [0.0] * len(classes)
         for b in r["by"]:
             if b["c"] in at:
                 share[at[b["c"]]] = b["freq"] / (r["n"] + 1.0)
-        table[tuple(r["x"])] = share
+        if len(r["x"]) > 1:
+            table[tuple(r["x"])] = share
+            number[tuple(r["x"])] = r["n"]
     pruned = {}
     for key in sorted(table, key=len):
         share = table[key]
         parts = [pruned[s] for n in range(1, len(key)) for s in combinations(key, n) if s in pruned]
-        if max(share) < min_confidence or any(all(abs(a - b) <= 0.05 for a, b in zip(share, q)) for q in parts):
+        top, n = max(share), number.get(key, 0)
+        if (top < min_confidence and (len(key) < 2 or top + 2 * math.sqrt(max(top * (1 - top), 0.01) / n) >= min_confidence)) or any(all(abs(a - b) <= 0.05 for a, b in zip(share, q)) for q in parts):
             continue
         pruned[key] = share
     return Rules(classes, pruned, frozenset(w for k in pruned for w in k))
@@ -143,29 +163,27 @@ def _keep_words(vocabulary: frozenset[str]):
     return keep
 
 
-def _assign(rules: Rules):
-    @F.pandas_udf("string")
-    def about(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: rules.classes[k] if (k := rules.about(ws)) >= 0 else NONE)
-
-    return about
-
-
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", subject: str = "subject", rounds: int = 2) -> Rules:
     """Rules from hand labels. First round: sentences of documents with one
-    label carry it. Further rounds: all labelled documents' sentences carry the
-    class the rules of the round before give them, or none, so sentences about
-    something else than their document's label no longer blur the shares.
+    label carry it. Further rounds: the rules of the round before are spread
+    over up to ``MAX_SPREAD`` documents, labelled ones first; a document whose
+    sentences are mostly about one class gives it to all of its sentences. What
+    stands in documents of any class (standing phrases, quoted logs and tests)
+    so keeps a flat share, and words too rare among the labels are learned.
     """
     by_doc = labels.where(F.col(doc_id).isNotNull() & F.col(subject).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.array_sort(F.collect_set(subject)).alias("cls"))
     by_doc = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    marked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(by_doc, "doc_id")
-    sents = cut(_sentences(marked, ["doc_id", "cls"]))
+    named = docs.where(F.col(doc_id).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sents = cut(_sentences(named.join(by_doc, "doc_id"), ["doc_id", "cls"]))
     classes = sorted(r[0] for r in sents.select(F.explode("cls")).distinct().collect())
     rules = mine_rules(sents.where(F.size("cls") == 1), classes)
+    if not rules.table or rounds < 2:
+        return rules
+    first = F.col("cls").isNull().cast("int")
+    chosen = cut(named.join(by_doc, "doc_id", "left").orderBy(first, F.xxhash64("doc_id"), "doc_id").limit(MAX_SPREAD).select("doc_id", "text"))
     for _ in range(rounds - 1):
-        again = cut(sents.withColumn("cls", F.array(_assign(rules)(F.col("words")))))
-        rules = mine_rules(again, classes, min_confidence=0.5)
+        counts = sentence_counts(chosen, rules).where("n_topical >= 2 and n_sentences >= 0.7 * n_topical").select("doc_id", F.array("subject").alias("cls"))
+        rules = mine_rules(cut(_sentences(chosen, ["doc_id"]).join(counts.dropDuplicates(["doc_id"]), "doc_id")), classes, min_confidence=0.5)
     return rules
 
 
@@ -178,15 +196,15 @@ def sentence_counts(docs: DataFrame, rules: Rules, *, doc_id: str = "doc_id", te
             rows = []
             for d, t in zip(b["d"], b["t"]):
                 n: dict[int, int] = {}
-                for ws in split_sentences(t or ""):
-                    k = rules.about(ws)
+                for s in t:
+                    k = rules.about(TOKEN.findall(s.lower()))
                     if k >= 0:
                         n[k] = n.get(k, 0) + 1
                 total = sum(n.values())
                 rows += [(d, rules.classes[k], v, total) for k, v in n.items()]
             yield pd.DataFrame(rows, columns=cols)
 
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t <> '' and d is not null").mapInPandas(run, "doc_id bigint, subject string, n_sentences int, n_topical int")
+    return docs.where((F.col(text) != "") & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("d"), prose(F.col(text)).alias("t")).mapInPandas(run, "doc_id bigint, subject string, n_sentences int, n_topical int")
 
 
 def subjects(docs: DataFrame, labels: DataFrame, *, share: float = SHARE) -> DataFrame:
