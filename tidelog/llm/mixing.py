@@ -27,6 +27,8 @@ BLOCKS = 4096
 #: Bound on mix rows and sources that go to the driver; both are settings, not data.
 MAX_SOURCES = 100_000
 PIECE = 1 << 16
+#: Characters per call of the tokenizer; its answers take some hundred bytes a token.
+FLUSH_CHARS = 200_000
 
 
 def source_name(col: str) -> Column:
@@ -36,6 +38,9 @@ def source_name(col: str) -> Column:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -81,7 +86,7 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", tokenizer
                         parts.append(p)
                         owner.append(i)
                         size += len(p)
-                if size > 1_000_000:
+                if size > FLUSH_CHARS:
                     flush()
                     size = 0
             if parts:
