@@ -127,8 +127,7 @@ def error_correlation(df: DataFrame, baseline_min: float = 30, comparison_min: f
     end = df.agg(F.max("ts").alias("end"))
     us = F.unix_micros("ts") - F.unix_micros("end")
     c, b = int(comparison_min * 60_000_000), int((comparison_min + baseline_min) * 60_000_000)
-    # one row of bounds: a broadcast of a single value
-    rows = df.join(F.broadcast(end), how="cross").where((us >= -b) & (us <= 0)).select((us >= -c).alias("now"), is_error_analytics().alias("err"), F.explode("labels").alias("label", "value"))
+    rows = df.withColumn("end", end.scalar()).where((us >= -b) & (us <= 0)).select((us >= -c).alias("now"), is_error_analytics().alias("err"), F.explode("labels").alias("label", "value"))
     n = lambda cond: F.count(F.when(cond, 1))
     g = rows.groupBy("label", "value").agg(n(F.col("now")).alias("ct"), n(F.col("now") & F.col("err")).alias("ce"), n(~F.col("now")).alias("bt"), n(~F.col("now") & F.col("err")).alias("be"))
     rate = lambda e, t: F.coalesce(F.try_divide(F.col(e).cast("double"), F.col(t)), F.lit(0.0))
@@ -174,8 +173,7 @@ def noisiest(df: DataFrame, key: str = "service", n: int = 10, errors_only: bool
     rows = df.where(is_error_analytics()) if errors_only else df
     counted = rows.groupBy(label(key).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
-    # one row: the total
-    return counted.where("value is not null").join(F.broadcast(total), how="cross").select("value", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct")).orderBy(F.desc("n"), "value").limit(n)
+    return counted.where("value is not null").withColumn("total", total.scalar()).select("value", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct")).orderBy(F.desc("n"), "value").limit(n)
 
 
 def trend_points(df: DataFrame, buckets: int = 30, width_s: int = 60) -> DataFrame:
@@ -186,7 +184,7 @@ def trend_points(df: DataFrame, buckets: int = 30, width_s: int = 60) -> DataFra
     us = F.unix_micros("ts") - (F.unix_micros("end") - buckets * w)
     at = F.when(us > -1_000_000, F.greatest(us, F.lit(0)))  # whole seconds are truncated towards zero
     i = F.floor(F.floor(at / 1_000_000) / width_s)
-    rows = df.join(F.broadcast(end), how="cross").select(i.alias("i"), is_error_analytics().cast("int").alias("e"), "end").where((F.col("i") >= 0) & (F.col("i") < buckets))
+    rows = df.withColumn("end", end.scalar()).select(i.alias("i"), is_error_analytics().cast("int").alias("e")).where((F.col("i") >= 0) & (F.col("i") < buckets))
     return rows.groupBy("i").agg(F.avg("e").alias("ratio"), F.count(F.lit(1)).alias("n"))
 
 

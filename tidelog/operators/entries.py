@@ -13,6 +13,7 @@ BLOCK = 65_536
 DAY = 86_400_000_000
 P = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
+SEP = "\x01"
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
@@ -29,23 +30,22 @@ def grouped_lines(df: DataFrame) -> DataFrame:
     )
 
 
-def _pick(hid: Column, values: dict[int, Column], other) -> Column:
-    out = None
-    for i, v in values.items():
-        out = F.when(hid == i, v) if out is None else out.when(hid == i, v)
-    return F.lit(other) if out is None else out.otherwise(F.lit(other))
-
-
 def _stamp(text: Column) -> Column:
     """Micros of ``YYYY-MM-DDThh:mm:ss[.f][zone]``; UTC where no zone is given."""
-    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.regexp_replace(text, r"([+-]\d\d)(\d\d)$", "$1:$2")).otherwise(F.concat(text, F.lit("Z")))
-    return F.unix_micros(F.try_to_timestamp(zoned))
+    sign = lambda back: F.substring(text, -back, 1).isin("+", "-")
+    zoned = F.when((F.right(text, F.lit(1)) == "Z") | sign(6) | sign(5), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.unix_micros(zoned.try_cast("timestamp"))
 
 
 def _month(name: Column) -> Column:
     return F.lpad((F.floor((F.instr(F.lit(MONTHS), name) + 2) / 3)).cast("string"), 2, "0")
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it's used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _nearest(cands: list[Column], ts: Column) -> Column:
     """The candidate nearest to ``ts``, the earlier one of two as near."""
     best = F.array_min(F.array(*[F.when(c.isNotNull(), F.struct(F.abs(c - ts).alias("d"), c.alias("c"))) for c in cands]))
@@ -57,14 +57,20 @@ def stated_time(kind: Column, text: Column, ts: Column) -> Column:
     the date is chosen nearest to ``ts``. Null if it isn't a time."""
     dots = F.translate(text, ",", ".")
     iso = F.translate(F.translate(dots, "/", "-"), " ", "T")
-    clf = F.concat(
-        F.regexp_extract(text, r"/(\d{4}):", 1), F.lit("-"), _month(F.regexp_extract(text, r"/([A-Z][a-z]{2})/", 1)), F.lit("-"), F.lpad(F.regexp_extract(text, r"^(\d{1,2})/", 1), 2, "0"),
-        F.lit("T"), F.regexp_extract(text, r":(\d\d:\d\d:\d\d)", 1), F.regexp_extract(text, r" ([+-]\d{4})$", 1),
-    )
+    day_of = F.substring_index(text, "/", 1)
+    full = F.when(F.substring(text, -5, 1).isin("+", "-"), text).otherwise(F.concat(text, F.lit(" +0000")))
+    after = F.substring(full, -(len("Mar/2025:00:00:00 +0000")), 100)  # all but the day has one width
+    clf = F.concat(F.substring(after, 5, 4), F.lit("-"), _month(F.substring(after, 1, 3)), F.lit("-"), F.lpad(day_of, 2, "0"), F.lit("T"), F.substring(after, 10, 8), F.substring(after, 19, 5))
     year = F.year(F.timestamp_micros(ts))
-    bsd_tail = F.concat(F.lit("-"), _month(F.substring(text, 1, 3)), F.lit("-"), F.lpad(F.regexp_extract(text, r"^\w+ +(\d{1,2}) ", 1), 2, "0"), F.lit("T"), F.regexp_extract(text, r"(\d\d:\d\d:\d\d(?:\.\d+)?)$", 1))
+    bsd_tail = F.concat(F.lit("-"), _month(F.substring(text, 1, 3)), F.lit("-"), F.lpad(F.trim(F.substring(F.regexp_replace(text, "  +", " "), 5, 2)), 2, "0"), F.lit("T"), F.substring_index(text, " ", -1))
     compact_tail = F.concat(F.lit("-"), F.substring(text, 1, 2), F.lit("-"), F.substring(text, 3, 2), F.lit("T"), F.substring(dots, 6, 20))
-    yearly = lambda tail: _nearest([_stamp(F.concat((year + k).cast("string"), tail)) for k in (-1, 0, 1)], ts)
+
+    def yearly(tail: Column) -> Column:
+        # the row's own year first; another one only if that is half a year off or no date at all
+        same = _stamp(F.concat(year.cast("string"), tail))
+        far = _nearest([_stamp(F.concat((year + k).cast("string"), tail)) for k in (-1, 0, 1)], ts)
+        return bind(same, lambda x: F.when(F.abs(x - ts) < 180 * DAY, x).otherwise(far))
+
     clock = _stamp(F.concat(F.lit("1970-01-01T"), dots))
     day = F.floor(ts / DAY) * DAY
     return (
@@ -74,7 +80,7 @@ def stated_time(kind: Column, text: Column, ts: Column) -> Column:
         .when(kind == T.COMPACT, yearly(compact_tail))
         .when(kind == T.MILLIS, text.try_cast("bigint") * 1000)
         .when(kind == T.SECONDS, (text.try_cast("decimal(20,6)") * 1_000_000).cast("bigint"))
-        .when(kind == T.CLOCK, _nearest([day + clock + k * DAY for k in (-1, 0, 1)], ts))
+        .when(kind == T.CLOCK, bind(day + clock, lambda x: F.when(ts - x > DAY // 2, x + DAY).when(ts - x <= -(DAY // 2), x - DAY).otherwise(x)))
     )
 
 
@@ -90,31 +96,34 @@ def stated_level(text: Column) -> Column:
     return out.otherwise("")
 
 
-def parse_headers(lines: DataFrame, layouts: list[T.Layout], *, line: str = "line", ts_us: str = "ts_us") -> DataFrame:
+def parse_headers(lines: DataFrame, layouts: list[T.Layout], *, line: str = "line", ts_us: str = "ts_us", times: bool = True) -> DataFrame:
     """Add ``is_head``, ``event_us``, ``log_level``, ``component`` to each line.
 
     One pass of built-in regular expressions; the first layout that matches
-    counts. ``event_us`` of a header without a (valid) time is the row's own.
+    counts. ``event_us`` of a header without a (valid) time is the row's own;
+    with ``times`` off it is for all, for callers that go by the rows' times.
     """
     clean = lines.withColumn("_p", T.plain(F.col(line)))
 
-    def which(s: Column) -> Column:
-        hid = None
+    def read(s: Column) -> Column:
+        """``layout SEP time SEP level SEP component``: one match tells which
+        layout it is, a second one copies what its groups hold."""
+        out = None
         for i, lay in enumerate(layouts):
             hit = F.substring(s["p"], 1, 1).isin(list(lay.first)) & s["p"].rlike(lay.regex)
-            hid = F.when(hit, i) if hid is None else hid.when(hit, i)
-        return F.lit(None).cast("int") if hid is None else hid
-
-    def pick(role: str):
-        return lambda s: _pick(s["h"], {i: F.regexp_extract(s["p"], x.regex, getattr(x, role)) for i, x in enumerate(layouts) if getattr(x, role)}, None).cast("string")
-
-    p = F.col("_p").alias("p")
-    clean = clean.withColumn("_h", fence([p], which))
-    h = F.col("_h").alias("h")
-    kind = _pick(F.col("_h"), {i: F.lit(x.kind) for i, x in enumerate(layouts) if x.time}, None).cast("string")
-    clean = clean.withColumns({"_t": fence([p, h], pick("time")), "_k": kind, "_l": fence([p, h], pick("level")), "component": F.coalesce(fence([p, h], pick("component")), F.lit(""))})
+            groups = SEP.join(f"${g}" if g else "" for g in (lay.time, lay.level, lay.component))
+            text = F.concat(F.lit(f"{i}{SEP}"), F.regexp_replace(s["p"], lay.regex + "(?s:.*)$", groups))
+            out = F.when(hit, text) if out is None else out.when(hit, text)
+        return F.lit(None).cast("string") if out is None else out
+
+    clean = clean.withColumn("_f", F.split(fence([F.col("_p").alias("p")], read), SEP))
+    get = lambda i: F.nullif(F.get("_f", F.lit(i)), F.lit(""))
+    kind = F.get(F.array(*[F.lit(x.kind) for x in layouts]) if layouts else F.array().cast("array<string>"), get(0).cast("int"))
+    clean = clean.withColumns({"_k": kind, "_t": get(1)})
     when = fence([F.col("_k").alias("k"), F.col("_t").alias("t"), F.col(ts_us).alias("ts")], lambda s: stated_time(s["k"], s["t"], s["ts"]))
-    return clean.withColumns({"is_head": F.col("_h").isNotNull(), "event_us": F.coalesce(when, F.col(ts_us)), "log_level": stated_level(F.col("_l"))}).drop("_p", "_h", "_t", "_k", "_l")
+    return clean.withColumns({
+        "is_head": F.col("_f").isNotNull(), "event_us": F.coalesce(F.when(F.col("_t").isNotNull(), when), F.col(ts_us)) if times else F.col(ts_us), "log_level": stated_level(get(2)), "component": F.coalesce(get(3), F.lit("")),
+    }).drop("_p", "_f", "_k", "_t")
 
 
 def fence(inputs: list[Column], body) -> Column:

@@ -40,8 +40,7 @@ def read_files(spark: SparkSession, paths: str | list[str], limit: int | None =
     raw = spark.read.text(paths).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"))
     rows = row_index(raw.where("line <> ''"), order="pos", name="i", block=1 << 33)
     n = rows.agg(F.max("i").alias("m"))
-    # one row: the last position
-    at = rows.join(F.broadcast(n), how="cross").select((F.col("m") - F.col("i")).alias("seq"), F.current_timestamp().alias("ts"), F.create_map(F.lit("source"), F.lit("file"), F.lit("filename"), F.element_at(F.split("file", "/"), -1), F.lit("level"), guess_level(F.col("line"))).alias("labels"), "line", F.lit(None).cast("string").alias("raw"))
+    at = rows.withColumn("m", n.scalar()).select((F.col("m") - F.col("i")).alias("seq"), F.current_timestamp().alias("ts"), F.create_map(F.lit("source"), F.lit("file"), F.lit("filename"), F.element_at(F.split("file", "/"), -1), F.lit("level"), guess_level(F.col("line"))).alias("labels"), "line", F.lit(None).cast("string").alias("raw"))
     return at if limit is None else at.where(F.col("seq") < limit)
 
 
