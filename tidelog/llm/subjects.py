@@ -221,5 +221,4 @@ def composition(docs: DataFrame, found: DataFrame, areas: DataFrame) -> DataFram
     with several subjects counts for each. Every subject area has a row."""
     total = docs.agg(F.countDistinct("doc_id").alias("n_docs"))
     per = found.groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
-    # areas are a small fixed table, total is one row
-    return areas.select("subject").distinct().join(per, "subject", "left").join(F.broadcast(total), how="cross").select("subject", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce(F.try_divide(F.coalesce("documents", F.lit(0)).cast("double"), "n_docs"), F.lit(0.0)).alias("share"))
+    return areas.select("subject").distinct().join(per, "subject", "left").withColumn("n_docs", total.scalar()).select("subject", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce(F.try_divide(F.coalesce("documents", F.lit(0)).cast("double"), "n_docs"), F.lit(0.0)).alias("share"))
