@@ -159,10 +159,11 @@ def collapse(events: DataFrame, *, min_similarity: float = 1.0, max_gap_us: int
 
 
 def log_events(log_entry: DataFrame) -> DataFrame:
-    """log_entry's entries as events, whole texts compared by a digest."""
+    """log_entry's entries as events, whole texts compared by a digest. First
+    and last time of a run are those of its rows, as in dedup_group."""
     lines = E.log_lines(log_entry)
     layouts = T.layouts(lines, "line")
-    parsed = E.parse_headers(lines, layouts)
+    parsed = E.parse_headers(lines, layouts, times=False)
     told = F.try_to_number(F.regexp_extract(F.lower("line"), REPEATED, 1), F.lit("999999999999999"))
     rep = F.when(F.contains(F.col("line"), F.lit("repeated")), told)
     text = F.concat(F.lit("k"), constant_text(F.col("line")))
@@ -179,7 +180,7 @@ def log_events(log_entry: DataFrame) -> DataFrame:
 def relay_events(dedup_group: DataFrame) -> DataFrame:
     """dedup_group's rows as events, each worth its event_count."""
     rows = dedup_group.select(F.lit("dedup_group").alias("source_table"), F.coalesce("stream_name", F.lit("")).alias("stream"), F.col("group_id").alias("id"), F.coalesce("line", F.lit("")).alias("line"), F.unix_micros("first_ts").alias("ts_us"), F.unix_micros("last_ts").alias("last_us"), F.col("event_count").alias("weight"))
-    parsed = E.parse_headers(rows, T.layouts(rows, "line"))
+    parsed = E.parse_headers(rows, T.layouts(rows, "line"), times=False)
     return parsed.select(
         "source_table", "stream", "id",
         F.concat_ws("\x1f", "log_level", "component", F.xxhash64(constant_text(F.col("line"))), F.hash(constant_text(F.col("line")))).alias("key"),
