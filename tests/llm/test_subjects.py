@@ -52,3 +52,17 @@ def test_no_labels_no_rows(spark):
     d = spark.createDataFrame([(1, "the tape shelf filled up overnight.")], "doc_id bigint, text string")
     lab = spark.createDataFrame([], "doc_id bigint, subject string")
     assert S.subjects(d, lab).count() == 0 and S.subjects(d.limit(0), lab).count() == 0
+
+
+def test_rules_are_spread_over_all_documents(spark):
+    r = random.Random(3)
+
+    def about(c, more=""):
+        np, vp = VOCAB[c]
+        return " ".join(f"The {r.choice(np)} {r.choice(vp)}{more}." for _ in range(3))
+
+    docs = [(i, about(list(VOCAB)[i % 3])) for i in range(20_000)]
+    docs += [(i, about("storage", " behind the zeppelin")) for i in range(20_000, 20_040)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, list(VOCAB)[i % 3]) for i in range(20_000)], "doc_id bigint, subject string")
+    assert ("zeppelin",) in S.fit(d, lab).table

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -32,8 +32,6 @@ TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|-)*")
 MIN_EVIDENCE = 2
 #: The rules are fitted on at most so many labelled documents (the smallest hashes of their ids).
 MAX_LABELLED = 50_000
-#: The rules of the first round are spread to so many documents, labelled ones first, to learn rarer words from.
-MAX_SPREAD = 20_000
 #: Bound on the rules that go to each task; about 300 bytes each.
 MAX_RULES = 300_000
 MAX_WORDS = 3
@@ -86,8 +84,8 @@ def prose(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, WRAPPED, " "), SPLIT), lambda s: ~s.rlike(MACHINE))
 
 
-def _sentences(docs: DataFrame, keep: list[str]) -> DataFrame:
-    parts = F.posexplode(prose(F.col("text"))).alias("sid", "s")
+def _sentences(docs: DataFrame, keep: list[str], of: Column | None = None) -> DataFrame:
+    parts = F.posexplode(prose(F.col("text")) if of is None else of).alias("sid", "s")
     words = F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit(WORD), F.lit(0)))
     return docs.select(*keep, parts).select(*keep, "sid", words.alias("words")).where(F.size("words") > 0)
 
@@ -166,8 +164,8 @@ def _keep_words(vocabulary: frozenset[str]):
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", subject: str = "subject", rounds: int = 2) -> Rules:
     """Rules from hand labels. First round: sentences of documents with one
     label carry it. Further rounds: the rules of the round before are spread
-    over up to ``MAX_SPREAD`` documents, labelled ones first; a document whose
-    sentences are mostly about one class gives it to all of its sentences. What
+    over all documents; a document whose sentences are mostly about one class
+    gives it to all of its sentences. What
     stands in documents of any class (standing phrases, quoted logs and tests)
     so keeps a flat share, and words too rare among the labels are learned.
     """
@@ -179,14 +177,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     rules = mine_rules(sents.where(F.size("cls") == 1), classes)
     if not rules.table or rounds < 2:
         return rules
-    first = F.col("cls").isNull().cast("int")
-    chosen = cut(named.join(by_doc, "doc_id", "left").orderBy(first, F.xxhash64("doc_id"), "doc_id").limit(MAX_SPREAD).select("doc_id", "text"))
     for _ in range(rounds - 1):
-        counts = sentence_counts(chosen, rules).where("n_topical >= 2 and n_sentences >= 0.7 * n_topical").select("doc_id", F.array("subject").alias("cls"))
-        rules = mine_rules(cut(_sentences(chosen, ["doc_id"]).join(counts.dropDuplicates(["doc_id"]), "doc_id")), classes, min_confidence=0.5)
+        rules = mine_rules(cut(_sentences(_spread(named, rules), ["doc_id", "cls"], F.col("parts"))), classes, min_confidence=0.5)
     return rules
 
 
+def _spread(docs: DataFrame, rules: Rules) -> DataFrame:
+    """The documents that are mostly about one class, with their sentences. Map-only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, t in zip(b["doc_id"], b["parts"]):
+                n = _topical(t, rules)
+                best = max(n, key=n.__getitem__, default=-1)
+                total = sum(n.values())
+                if total >= 2 and n[best] >= 0.7 * total:
+                    rows.append((d, t, [rules.classes[best]]))
+            yield pd.DataFrame(rows, columns=["doc_id", "parts", "cls"])
+
+    return docs.select("doc_id", prose(F.col("text")).alias("parts")).mapInPandas(run, "doc_id bigint, parts array<string>, cls array<string>")
+
+
+def _topical(sentences: Iterable[str], rules: Rules) -> dict[int, int]:
+    """Sentences about each class."""
+    n: dict[int, int] = {}
+    for s in sentences:
+        k = rules.about(TOKEN.findall(s.lower()))
+        if k >= 0:
+            n[k] = n.get(k, 0) + 1
+    return n
+
+
 def sentence_counts(docs: DataFrame, rules: Rules, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document and subject: sentences about it, and about any subject. Map-only."""
     cols = ["doc_id", "subject", "n_sentences", "n_topical"]
@@ -195,11 +217,7 @@ def sentence_counts(docs: DataFrame, rules: Rules, *, doc_id: str = "doc_id", te
         for b in batches:
             rows = []
             for d, t in zip(b["d"], b["t"]):
-                n: dict[int, int] = {}
-                for s in t:
-                    k = rules.about(TOKEN.findall(s.lower()))
-                    if k >= 0:
-                        n[k] = n.get(k, 0) + 1
+                n = _topical(t, rules)
                 total = sum(n.values())
                 rows += [(d, rules.classes[k], v, total) for k, v in n.items()]
             yield pd.DataFrame(rows, columns=cols)
