@@ -29,3 +29,10 @@ def test_round_trip_of_fields(spark):
     df = spark.createDataFrame([("t", 1, json.dumps(rec))], "s string, i bigint, t string")
     out = N.flatten_records(df, source="s", row_id="i", text="t").collect()
     assert [json.loads(r.fields) for r in sorted(out, key=lambda r: int(r.child_path[2:-1]))] == rec["a"]
+
+
+def test_mixed_below_mixed_is_found_in_any_spelling(spark):
+    rows = [("t", 1, '{"a":{"b":[{"c":{"x":1}}]}}'), ("t", 2, '{"a":[{"b":{"c":[{"x":1}]}}]}')]
+    out = N.flatten_records(spark.createDataFrame(rows, "s string, i bigint, t string"), source="s", row_id="i", text="t")
+    got = {(r.row_id, r.child_path, r.parent_path) for r in out.collect()}
+    assert got == {(i, c, q) for i in (1, 2) for c, q in (("a[0]", ""), ("a[0].b[0]", "a[0]"), ("a[0].b[0].c[0]", "a[0].b[0]"))}

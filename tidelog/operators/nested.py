@@ -45,8 +45,11 @@ def _opened(value):
     return value
 
 
-def members(value) -> Iterator[tuple[str, bool]]:
-    """(schema path, is array) of each member that holds an array of objects or an object."""
+def members(value, mixed: frozenset[str] = frozenset()) -> Iterator[tuple[str, bool]]:
+    """(schema path, is array) of each member that holds an array of objects or an object.
+
+    Below a bare object under a member of ``mixed`` the paths are those of an array.
+    """
     stack = [("", _opened(value))]
     while stack:
         path, v = stack.pop()
@@ -56,6 +59,8 @@ def members(value) -> Iterator[tuple[str, bool]]:
                 at = f"{path}.{k}" if path else k
                 if isinstance(x, dict):
                     yield at, False
+                    if at in mixed:
+                        at = f"{at}[]"
                 elif isinstance(x, list):
                     if any(isinstance(_opened(y), dict) for y in x):
                         yield at, True
@@ -103,14 +108,28 @@ def mixed_members(df: DataFrame, text: str, source: str) -> dict[str, frozenset[
     """By source, the members that hold arrays of objects in some records and bare objects in others.
 
     Each task sends one row per distinct member; the answer depends on the
-    schema, not on the number of records. Beyond ``MAX_MIXED`` (ids used as
-    member names on both shapes) it stops with an error instead of guessing.
+    schema, not on the number of records. Below a mixed member, records write
+    the same member in two ways, so the scan is repeated with the members found
+    until no more come; each further scan reaches mixed members nested deeper.
+    Beyond ``MAX_MIXED`` (ids used as member names on both shapes) it stops
+    with an error instead of guessing.
     """
+    mixed: dict[str, frozenset[str]] = {}
+    while True:
+        found = _mixed_under(df, text, source, mixed)
+        grown = {s: mixed.get(s, frozenset()) | p for s, p in found.items()}
+        if all(p == mixed.get(s) for s, p in grown.items()):
+            return mixed
+        mixed = mixed | grown
+
+
+def _mixed_under(df: DataFrame, text: str, source: str, mixed: dict[str, frozenset[str]]) -> dict[str, frozenset[str]]:
+    """One scan of :func:`mixed_members`, with paths as ``mixed`` makes them."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[str, str, bool]] = set()
         for b in batches:
-            new = {(s, p, a) for s, t in zip(b["s"], b["t"]) for p, a in members(parse(t))} - seen
+            new = {(s, p, a) for s, t in zip(b["s"], b["t"]) for p, a in members(parse(t), mixed.get(s, frozenset()))} - seen
             seen |= new
             if len(seen) > MAX_MIXED:
                 seen = set()
