@@ -52,3 +52,14 @@ def test_size_is_checked(spark, monkeypatch):
     i = spark.createDataFrame([(7, "long enough")], "item_id bigint, passage string")
     with pytest.raises(ValueError):
         L.leaked(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), i)
+
+
+def test_run_behind_a_stretch_with_more_words(spark):
+    head, tail = "alpha bravo charlie delta", " ".join(f"shared{i}" for i in range(13))
+    short = "a b c d e f g h ij kl mn op qrs"
+    long = "p" * 15 + " " + "q" * (len(short) - 16)
+    longer = "x y z x y z x y z x y z x y z x y z x y z w" * 3
+    item = [(1, f"{head} {long} {tail}"), (2, f"{head} {'r' * 60} {'s' * (len(longer) - 61)} {tail}")]
+    docs = [(1, f"{head} {short} {tail}"), (2, f"{head} {longer} {tail}"), (3, f"{head} {short} other {tail[:60]}")]
+    got = L.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(item, "item_id bigint, passage string"))
+    assert {tuple(x) for x in got.collect()} == brute(docs, item) == {(1, 1), (1, 2), (2, 1), (2, 2)}

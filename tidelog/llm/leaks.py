@@ -3,8 +3,8 @@
 Q-gram lemma filtering. Two texts within ``k`` edits over a window of ``w``
 characters share at least ``w - q + 1 - k*q`` q-grams in a band of diagonals at
 most ``k`` wide. Each document's q-grams are looked up in an index of the
-passages, hits are counted in overlapping diagonal bands, bands that reach the
-bound are verified by banded alignment. Map-only: no row is shuffled.
+passages, hits are counted in overlapping diagonal bands, chains of hits in a band that
+reach the bound are verified by banded alignment. Map-only: no row is shuffled.
 """
 
 from __future__ import annotations
@@ -78,6 +78,7 @@ class Index:
         self.q, self.min_words, self.max_edits = q, min_words, max_edits
         self.ids: list[int] = []
         self.words: list[list[str]] = []
+        self.starts: list[np.ndarray] = []
         hs, who, pos, shortest = [], [], [], []
         for item, passage in items:
             ws = words_of(passage)
@@ -88,6 +89,7 @@ class Index:
             self.words.append(ws)
             lengths = np.array([len(w) + 1 for w in ws])
             ends = np.cumsum(lengths)
+            self.starts.append(np.concatenate(([0], ends)))
             window = ends[min_words - 1 :] - np.concatenate(([0], ends[:-min_words])) - 1
             shortest.append(int(window.min()))
             g = grams(" ".join(ws), q)
@@ -130,29 +132,40 @@ class Index:
         diag = dpos.astype(np.int64) - ppos
         found: dict[int, tuple[int, int, int]] = {}
         starts = np.cumsum([0] + [len(w) + 1 for w in ws])
-        seen: set[tuple[int, int, int]] = set()
+        # the words that max_edits edits, and texts between them too short for a q-gram, can take
+        spacing = self.max_edits * (self.q // 2 + 1)
+        seen: set[tuple[int, ...]] = set()
         for half in (0, width // 2):
             band = (diag + half) // width
             key = np.lexsort((dpos, band, who))
-            k, b, p, dg = who[key], band[key], dpos[key], diag[key]
+            k, b = who[key], band[key]
             cut = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (b[1:] != b[:-1]))))
+            size = np.diff(np.append(cut, len(k)))
+            key = key[np.repeat(size >= self.need[k[cut]], size)]
+            if not len(key):
+                continue
+            k, b, p, pp = who[key], band[key], dpos[key], ppos[key]
+            w0 = np.searchsorted(starts, p, "right") - 1
+            w1 = np.searchsorted(starts, p + self.q - 1, "right") - 1
+            cut = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (b[1:] != b[:-1]) | (w0[1:] - w1[:-1] > spacing))))
             end = np.concatenate((cut[1:], [len(k)]))
-            for s, e in zip(cut, end):
+            enough = end - cut >= self.need[k[cut]]
+            for s, e in zip(cut[enough], end[enough]):
                 item = int(k[s])
-                if e - s < self.need[item]:
-                    continue
-                first, last = int(p[s]), int(p[e - 1]) + self.q
-                a0, a1 = int(np.searchsorted(starts, first, "right")) - 1, int(np.searchsorted(starts, last, "left"))
+                pw, pst = self.words[item], self.starts[item]
+                a0, a1 = int(w0[s]), int(np.searchsorted(starts, p[e - 1] + self.q, "left"))
                 a0, a1 = max(0, a0 - self.max_edits), min(len(ws), a1 + self.max_edits)
-                pw = self.words[item]
-                pst = np.cumsum([0] + [len(w) + 1 for w in pw])
-                off = int(np.median(dg[s:e]))
-                b0 = max(0, int(np.searchsorted(pst, first - off, "right")) - 1 - self.max_edits)
-                b1 = min(len(pw), int(np.searchsorted(pst, last - off, "left")) + 1 + self.max_edits)
-                if (item, a0, a1) in seen:
+                v0 = np.searchsorted(pst, pp[s:e], "right") - 1
+                b0 = max(0, int(v0.min()) - self.max_edits)
+                b1 = min(len(pw), int(np.searchsorted(pst, pp[s:e].max() + self.q, "left")) + self.max_edits)
+                # the band holds the word offset of every hit
+                off = w0[s:e] - v0 - (a0 - b0)
+                lo, hi = int(off.min()), int(off.max())
+                region = (item, a0, a1, b0, b1, lo, hi)
+                if region in seen:
                     continue
-                seen.add((item, a0, a1))
-                got = banded_alignment(ws[a0:a1], pw[b0:b1], 0, self.max_edits + 2)
+                seen.add(region)
+                got = banded_alignment(ws[a0:a1], pw[b0:b1], (lo + hi) // 2, (hi - lo + 1) // 2 + self.max_edits + 2)
                 if got > found.get(item, (0, 0, 0)):
                     found[item] = got
         return [(self.ids[i], *v) for i, v in sorted(found.items())]
