@@ -36,3 +36,12 @@ def test_mixed_below_mixed_is_found_in_any_spelling(spark):
     out = N.flatten_records(spark.createDataFrame(rows, "s string, i bigint, t string"), source="s", row_id="i", text="t")
     got = {(r.row_id, r.child_path, r.parent_path) for r in out.collect()}
     assert got == {(i, c, q) for i in (1, 2) for c, q in (("a[0]", ""), ("a[0].b[0]", "a[0]"), ("a[0].b[0].c[0]", "a[0].b[0]"))}
+
+
+def test_records_of_a_table_are_counted_exactly(spark, tmp_path):
+    from tidelog.queries import p5_tables
+
+    spark.range(5000).selectExpr("id AS hit_id", "'{\"a\":[{\"x\":1},{\"x\":2}]}' AS _source").write.parquet(str(tmp_path / "es_hit.parquet"))
+    spark.range(3).selectExpr("id AS seq", "'{}' AS raw").write.parquet(str(tmp_path / "log_entry.parquet"))
+    got = [(r.source_table, r.table_path, r.n_rows, r.n_records) for r in p5_tables(spark, str(tmp_path)).collect()]
+    assert got == [("es_hit", "a[]", 10_000, 5000)]

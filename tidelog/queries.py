@@ -44,7 +44,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_tables(spark: SparkSession, d: str) -> DataFrame:
     """The flat tables that come out: rows and records by kind of object."""
     rows = nested.flatten_records(json_records(spark, d), source="source_table", row_id="row_id", text="text", with_object=False)
-    return rows.groupBy("source_table", "table_path").agg(F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("row_id").alias("n_records"), F.max("n_fields").alias("max_fields"))
+    return rows.groupBy("source_table", "table_path").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_records"), F.max("n_fields").alias("max_fields"))
 
 
 def p6_partials(spark: SparkSession, d: str) -> DataFrame:
