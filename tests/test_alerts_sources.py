@@ -114,3 +114,13 @@ def test_streams(spark, log_rows, tmp_path):
     w.awaitTermination()
     got = lateness.combine(spark.read.parquet(str(tmp_path / "parts"))).collect()
     assert [(r.n_first, r.n_final) for r in got] == [(3, 3)]
+
+
+def test_cloudwatch_query_keeps_every_event_with_a_time(spark, tmp_path):
+    from tidelog.log_queries import QUERIES
+
+    rows = [(1, "s", 1_742_164_227_910), (2, "s", 1_742_164_227_910_000), (3, None, 1_741_569_264), (4, "s", None)]
+    e = spark.createDataFrame(rows, "delivery_id bigint, log_stream_name string, event_timestamp bigint").selectExpr("*", "'m' AS message", "'e' AS event_id", "0L AS ingestion_time")
+    e.write.parquet(str(tmp_path / "filtered_log_event.parquet"))
+    got = {(r.seq, r.ts_us) for r in QUERIES["src_cloudwatch_events"](spark, str(tmp_path)).collect()}
+    assert got == {(i, t * 1000) for i, _, t in rows if t is not None}
