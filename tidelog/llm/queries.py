@@ -17,12 +17,12 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_certified(spark: SparkSession, d: str) -> DataFrame:
-    """Per name and quantile: how many values there are, and whether the
-    counted rank error keeps the stated bound."""
-    rows = digests.first_deliveries(table(spark, d, "log_metric"))
-    keys = ["metric_name"]
-    sure = digests.certify(rows, digests.percentiles(digests.merge(digests.build(rows, keys, "metric_value"), keys), keys), keys, "metric_value")
-    return sure.select("metric_name", "quantile", "n", (F.col("error") <= F.col("bound")).alias("within_bound"))
+    """Every group of every level: how many values it has, whether the counted
+    rank error keeps the stated bound, and, for groups of up to 100 values,
+    which no digest may blur, the percentile itself."""
+    p = p1_percentiles(spark, d)
+    keys = ["column_name", "group_name", "service", F.unix_micros("period").cast("string").alias("period_us"), "level", "quantile", "n"]
+    return p.select(*keys, (F.col("error") <= F.col("bound")).alias("within_bound"), F.when(F.col("n") <= 100, F.col("estimate")).alias("small_estimate"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,10 +60,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_certified": """WITH once AS (SELECT metric_name, metric_value FROM log_metric
-    QUALIFY metric_id IS NULL OR row_number() OVER (PARTITION BY metric_id ORDER BY batch_day NULLS FIRST, ts NULLS FIRST, metric_name NULLS FIRST, labels['service'] NULLS FIRST, metric_value NULLS FIRST) = 1),
- n AS (SELECT metric_name, count(*) AS n FROM once WHERE metric_value IS NOT NULL AND NOT isnan(metric_value) GROUP BY 1)
-SELECT metric_name, quantile, n, TRUE AS within_bound FROM n, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (0.999::DOUBLE)) AS q(quantile)""",
+        "p1_certified": """WITH once AS (SELECT metric_name, labels['service'] AS service, batch_day, metric_value AS v FROM log_metric
+    QUALIFY metric_id IS NULL OR row_number() OVER (PARTITION BY metric_id ORDER BY batch_day NULLS FIRST) = 1),
+ ends AS (SELECT endpoint_pattern, window_start, min(p50_ms) AS p50, min(p99_ms) AS p99 FROM endpoint_latency GROUP BY window_id, endpoint_pattern, window_start, shard_name),
+ metric_groups AS (SELECT 'metric_value' AS column_name, metric_name AS group_name, NULL AS service, NULL::TIMESTAMP AS period, 'metric_name' AS level, v FROM once
+  UNION ALL SELECT 'metric_value', metric_name, service, NULL, 'metric_name+service', v FROM once
+  UNION ALL SELECT 'metric_value', metric_name, NULL, batch_day::TIMESTAMP, 'metric_name+batch_day', v FROM once
+  UNION ALL SELECT 'metric_value', metric_name, service, batch_day::TIMESTAMP, 'metric_name+service+batch_day', v FROM once),
+ both_columns AS (SELECT 'p50_ms' AS c, endpoint_pattern, window_start::TIMESTAMP AS w, p50 AS v FROM ends UNION ALL SELECT 'p99_ms', endpoint_pattern, window_start::TIMESTAMP, p99 FROM ends),
+ everything AS (SELECT * FROM metric_groups UNION ALL SELECT c, endpoint_pattern, NULL, NULL, 'endpoint_pattern', v FROM both_columns UNION ALL SELECT c, endpoint_pattern, NULL, w, 'endpoint_pattern+window', v FROM both_columns),
+ g AS (SELECT column_name, group_name, service, period, level, list_sort(list(v)) AS vs, count(*) AS n FROM everything WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2, 3, 4, 5)
+SELECT column_name, group_name, service, CAST(epoch_us(period) AS VARCHAR) AS period_us, level, quantile, n, TRUE AS within_bound, CASE WHEN n <= 100 THEN vs[greatest(1, ceil(quantile * n - 1e-9)::BIGINT)] END AS small_estimate
+FROM g, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (0.999::DOUBLE)) AS q(quantile)""",
         "p8_found": r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS ws FROM eval_item),
  g AS (SELECT DISTINCT item_id, array_to_string(ws[i:i+12], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
  d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
