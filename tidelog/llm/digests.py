@@ -94,24 +94,44 @@ def _codes(t: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(keys: pa.Table, group, mean, weight, lo, hi) -> pa.Table:
-    """Digests as rows: ``keys`` has one row per group number."""
+    """Digests as rows: ``keys`` has one row per group number.
+
+    Ends that equal the means, and weights that are all 1, aren't stored: most
+    groups are small and their centroids single values.
+    """
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    offsets = pa.array(np.concatenate((first, [len(group)])).astype(np.int32))
+    sizes = np.diff(np.append(first, len(group)))
     cols = {k: keys[k].take(pa.array(group[first])) for k in keys.column_names}
-    lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
-    for name, col in (("n", pa.array(np.add.reduceat(weight, first))), ("mean", lists(mean)), ("weight", lists(weight)), ("lo", lists(lo)), ("hi", lists(hi))):
-        cols[name] = col
+    cols["n"] = pa.array(np.add.reduceat(weight, first))
+
+    def lists(x: np.ndarray, kept: np.ndarray) -> pa.ListArray:
+        ends = np.cumsum(np.where(kept, sizes, 0))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(x[np.repeat(kept, sizes)]))
+
+    blurred = ~np.minimum.reduceat((lo == mean) & (hi == mean), first)
+    cols["mean"] = lists(mean, np.ones(len(first), bool))
+    cols["weight"] = lists(weight, np.maximum.reduceat(weight, first) > 1)
+    cols["lo"], cols["hi"] = lists(lo, blurred), lists(hi, blurred)
     return pa.table(cols)
 
 
-def _flat(t: pa.Table, name: str, dtype) -> np.ndarray:
-    c = t[name].combine_chunks()
-    return c.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+def _sizes(t: pa.Table, name: str = "mean") -> np.ndarray:
+    return np.diff(t[name].combine_chunks().offsets.to_numpy())
+
+
+def _flat(t: pa.Table, name: str) -> np.ndarray:
+    return t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Means, weights, least and greatest values of all centroids, in order."""
+    sizes, mean = _sizes(t), _flat(t, "mean").astype(float, copy=False)
 
+    def column(name: str, plain: np.ndarray) -> np.ndarray:
+        plain[np.repeat(_sizes(t, name) > 0, sizes)] = _flat(t, name)
+        return plain
 
-def _sizes(t: pa.Table) -> np.ndarray:
-    c = t["weight"].combine_chunks()
-    return np.diff(c.offsets.to_numpy())
+    return mean, column("weight", np.ones(len(mean), np.int64)), column("lo", mean.copy()), column("hi", mean.copy())
 
 
 def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
@@ -162,7 +182,7 @@ def _merge_once(partials: DataFrame, keys: list[str], spread: list[str], delta:
         def pack(t: pa.Table) -> pa.Table:
             code, first = _codes(t, by)
             g = np.repeat(code, _sizes(t))
-            m, w, lo, hi = _flat(t, "mean", float), _flat(t, "weight", np.int64), _flat(t, "lo", float), _flat(t, "hi", float)
+            m, w, lo, hi = _unpack(t)
             order = np.lexsort((hi, lo, m, g))
             return _pack(t.select(by).take(pa.array(first)) if by else pa.table({}), *cluster(g[order], m[order], w[order], lo[order], hi[order], delta))
 
@@ -243,7 +263,7 @@ def percentiles(digests: DataFrame, keys: Sequence[str], quantiles: Sequence[flo
                 continue
             t = pa.Table.from_batches([b])
             n, sizes = t["n"].to_numpy(), _sizes(t)
-            weight, lo, hi = _flat(t, "weight", np.int64), _flat(t, "lo", float), _flat(t, "hi", float)
+            _, weight, lo, hi = _unpack(t)
             out = t.select([*keys, "n"]).append_column("exact", pa.array(np.minimum.reduceat(lo == hi, np.cumsum(sizes) - sizes)))
             got = [estimates_at(q, n, sizes, weight, lo, hi) for q in quantiles]
             bounds = [proven_bound(e, ranks(q, n), n, sizes, weight, lo, hi) for q, e in zip(quantiles, got)]
@@ -252,7 +272,7 @@ def percentiles(digests: DataFrame, keys: Sequence[str], quantiles: Sequence[flo
             yield from out.combine_chunks().to_batches()
 
     schema = (f"{_ddl(digests, keys)}, " if keys else "") + "n bigint, exact boolean" + "".join(f", e{i} double" for i in size) + "".join(f", x{i} double" for i in size)
-    return digests.select(*keys, "n", "weight", "lo", "hi").mapInArrow(run, schema)
+    return digests.select(*keys, *VALUES).mapInArrow(run, schema)
 
 
 #: Estimates go to every task of the counting pass up to so many groups (about 60 bytes each).
