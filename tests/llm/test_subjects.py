@@ -66,3 +66,38 @@ def test_rules_are_spread_over_all_documents(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     lab = spark.createDataFrame([(i, list(VOCAB)[i % 3]) for i in range(20_000)], "doc_id bigint, subject string")
     assert ("zeppelin",) in S.fit(d, lab).table
+
+
+def test_mined_sets_decide_where_single_words_do_not(spark):
+    r = random.Random(5)
+    nouns, verbs = ["table", "ledger", "gate", "frame"], ["locked", "closed", "moved", "opened"]
+    # the class follows from noun and verb together: neither tells it alone
+    cls = {(n, v): ["law", "sport"][(i + j) % 2] for i, n in enumerate(nouns) for j, v in enumerate(verbs)}
+    docs, labels = [], []
+    for i in range(600):
+        c = r.choice(["law", "sport"])
+        pairs = r.choices([k for k, x in cls.items() if x == c], k=4)
+        docs.append((i, " ".join(f"The {n} {v} again." for n, v in pairs) + f" Our {c} note."))
+        labels.append((i, c, "op"))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = S.classed_sentences(d.withColumn("c", S.F.when(S.F.col("text").contains("law note"), "law").otherwise("sport")), "c")
+    rules = S.mine_rules(found, ["law", "sport"], min_confidence=0.3)
+    for (n, v), c in cls.items():
+        k, raw, spoken = rules.evidence(["the", n, v, "again"])
+        assert rules.classes[k] == c and raw > 0.9 and spoken == 2
+
+
+def test_calibration_follows_the_labels():
+    curve = S.calibrated({(1, 19): (1000, 950), (2, 19): (1000, 100), (2, 3): (1000, 900)})
+    assert curve[1][19] > 0.9 and abs(curve[2][19] - curve[2][3]) < 0.01, "falling bins are pooled"
+    assert all(a <= b for row in curve for a, b in zip(row, row[1:]))
+    assert S.calibrated({})[1][19] < 0.5 <= S.calibrated({})[2][10]
+
+
+def test_long_sentences_are_cut_into_transactions(spark):
+    words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
+    text = " ".join(words) + "."
+    d = spark.createDataFrame([(i, text, "law") for i in range(40)], "doc_id bigint, text string, c string")
+    rules = S.mine_rules(S.classed_sentences(d, "c"), ["law", "sport"])
+    assert all((w,) in rules.table for w in words)
+    assert rules.about(words) == 0

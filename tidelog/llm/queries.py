@@ -54,8 +54,15 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(docs, subjects.subjects(docs, table(spark, d, "subject_label")), table(spark, d, "subject_area"))
 
 
+def p10_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The mined rules: their words, the class they tell most, and its share."""
+    r = subjects.fit(table(spark, d, "documents"), table(spark, d, "subject_label"))
+    rows = [(list(k), r.classes[max(range(len(v)), key=v.__getitem__)], max(v)) for k, v in sorted(r.table.items())]
+    return spark.createDataFrame(rows, "words array<string>, subject string, confidence double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p8_found, p9_mix, p9_shares, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p8_found, p9_mix, p9_shares, p10_found, p10_composition, p10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
