@@ -84,7 +84,7 @@ def test_mined_sets_decide_where_single_words_do_not(spark):
     rules = S.mine_rules(found, ["law", "sport"], min_confidence=0.3)
     for (n, v), c in cls.items():
         k, raw, spoken = rules.evidence(["the", n, v, "again"])
-        assert rules.classes[k] == c and raw > 0.9 and spoken == 2
+        assert rules.classes[k] == c and raw > 0.9 and spoken >= 2
 
 
 def test_calibration_follows_the_labels():
