@@ -19,7 +19,7 @@ def heads(i, at):
     east = (at + timedelta(hours=5, minutes=30)).strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}+05:30"
     sp, comma = iso.replace("T", " "), iso.replace("T", " ").replace(".", ",")
     word = ["info", "error", "panic"][i % 3]
-    tail = f"{word} budget {i} of job-{i} is at {i}ms"
+    tail = f"{word} budget {i} of job-{i} is at {i}ms" if i // 14 % 4 else f"{word} job-{i} (last of 9) is done"
     return [
         (f"{iso}Z {lv:5} [mint.open] {tail}", ms, norm, "mint.open"),
         (f"{east} \x1b[33m{lv}\x1b[0m [mint.seal] {tail}", ms, norm, "mint.seal"),
@@ -110,3 +110,28 @@ def test_lcs():
         b = [r.choice("abc") for _ in range(r.randrange(0, 9))]
         t = T.lcs_template(a, b)
         assert T.lcs_length(a, b) == sum(x != T.GAP for x in t)
+
+
+def test_templates_decide_what_is_a_header(spark):
+    """A word is a component, and a header without time one at all, only where messages of different make share the frame."""
+    tagged = [f"Mar 10 06:00:0{i} host-{i} mintd[{i}]: {m}" for i, m in enumerate(("started", "took 5 ms (warm)", "peer 10.0.0.1:80 left, code=7"))]
+    note = [f"INFO:mint.note:{m}" for m in ("started", "took 5 ms (warm)", "peer 10.0.0.1:80 left, code=7")]
+    lone = ["Mar 11 06:00:00 host-1 other[7]: started"]
+    make = lambda lines: spark.createDataFrame([(x,) for x in lines], "line string")
+    both = T.layouts(make(tagged + note), "line")
+    assert {(bool(x.time), bool(x.level), bool(x.component)) for x in both} == {(True, False, True), (False, True, True)}
+    alone = T.layouts(make(lone + note[:1]), "line")
+    assert {(bool(x.time), bool(x.level), bool(x.component)) for x in alone} == {(True, False, False)}
+    shapes = [(f"{T.BSD} {host} {T.WORD}[{T.NUMBER}]: {T.WORD}", 1, 1) for host in (T.IDENT, T.WORD)]
+    merged = T.cluster(shapes)
+    assert len(merged) == 1 and T.GAP in merged[0][0] and T.layout_of(*merged[0][::2]).component, "a host that varies is a slot"
+    assert T.readable("".join(merged[0][0])).startswith("<time> <...>")
+
+
+def test_entry_texts_hold_all_lines_over_block_borders(spark):
+    rows = [(i, DAY, {"stream": "s"}, f"2025-03-10T06:00:00Z INFO [a.b] message {i}" if i % 5 == 0 else f"  at {i}", None) for i in range(40)]
+    lines = E.log_lines(spark.createDataFrame(rows, "seq bigint, ts timestamp, labels map<string,string>, line string, raw string"))
+    parsed = E.parse_headers(lines, T.layouts(lines, "line"))
+    for block in (1, 7, 1000):
+        got = {r.row_id: r.lines for r in E.entry_texts(parsed, block=block).collect()}
+        assert got == {i: [x[3] for x in rows[i : i + 5]] for i in range(0, 40, 5)}

@@ -188,21 +188,30 @@ def group_entries(parsed: DataFrame, *, text: Column | None = None, block: int =
 
 def found_entries(log_entry: DataFrame, grouped_entry: DataFrame) -> DataFrame:
     """All entries of both tables, layouts mined from their own lines."""
-    lines = log_lines(log_entry).unionByName(grouped_lines(grouped_entry))
+    lines = all_lines(log_entry, grouped_entry)
     return group_entries(parse_headers(lines, T.layouts(lines, "line"))).select("source_table", "row_id", "line_no", "event_us", "log_level", "component", "n_lines")
 
 
+def all_lines(log_entry: DataFrame, grouped_entry: DataFrame) -> DataFrame:
+    """The physical lines of both tables."""
+    return log_lines(log_entry).unionByName(grouped_lines(grouped_entry))
+
+
 def entry_texts(parsed: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Entries with ``message`` (the head's line) and ``lines``, all of their lines in order.
 
     As :func:`group_entries`, with the lines collected per entry; an entry is
-    as long as its program wrote it.
+    as long as its program wrote it. Only the segments at block edges, two rows
+    a block, go through the pass per stream.
     """
     keys = ["source_table", "stream", "block"]
     w = W.partitionBy(*keys).orderBy("row_id", "line_no")
     rows = parsed.withColumn("block", F.floor(F.col("row_id") / block))
     at = rows.withColumn("hid", F.sum(F.col("is_head").cast("int")).over(w))
     seg = at.groupBy(*keys, "hid").agg(F.min(F.when(F.col("is_head"), F.struct("row_id", "line_no", "event_us", "log_level", "component"))).alias("f"), F.array_sort(F.collect_list(F.struct("row_id", "line_no", "line"))).alias("part"))
-    gid = seg.withColumn("gid", F.sum((F.col("hid") > 0).cast("int")).over(W.partitionBy("source_table", "stream").orderBy("block", "hid")))
-    out = gid.where("gid > 0").groupBy("source_table", "stream", "gid").agg(F.min("f").alias("f"), F.flatten(F.array_sort(F.collect_list("part"))).alias("all"))
+    seg = seg.withColumn("edge", (F.col("hid") == 0) | (F.col("hid") == F.max("hid").over(W.partitionBy(*keys))))
+    inner = seg.where("not edge").select("source_table", "stream", "f", F.col("part").alias("all"))
+    gid = seg.where("edge").withColumn("gid", F.sum((F.col("hid") > 0).cast("int")).over(W.partitionBy("source_table", "stream").orderBy("block", "hid")))
+    outer = gid.where("gid > 0").groupBy("source_table", "stream", "gid").agg(F.min("f").alias("f"), F.flatten(F.array_sort(F.collect_list("part"))).alias("all")).drop("gid")
+    out = inner.unionByName(outer)
     return out.select("source_table", "stream", "f.*", F.transform("all", lambda x: x["line"]).alias("lines")).withColumn("message", F.col("lines")[0])

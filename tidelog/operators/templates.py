@@ -209,11 +209,14 @@ def _keyed(ts: list[str]) -> Layout | None:
     return Layout(regex, g["time"], roles["time"][1], g.get("level", 0), g.get("component", 0))
 
 
-def layout_of(ts: list[str]) -> Layout | None:
-    """The header that a shape or template opens with, or None.
+def layout_of(ts: list[str], shapes: int = 2) -> Layout | None:
+    """The header that a template opens with, or None.
 
     The header is read from the first token on, up to the first free text. It
-    must hold a time, or a level with a component, in the first column.
+    must hold a time, or a level with a component, in the first column. What
+    varies between the ``shapes`` merged into the template is a gap; a word is
+    taken for a component, and a header without time for one at all, only if
+    two shapes or more, that is messages of different make, have it in common.
     """
     if not ts:
         return None
@@ -241,6 +244,8 @@ def layout_of(ts: list[str]) -> Layout | None:
             level = groups
             regex += "([A-Za-z])" if nxt == COMPACT else "([A-Za-z]+)"
             keep, glued = regex, True
+        elif t == GAP and time and not comp and prev == " " and nxt == " ":
+            regex += r"\S+"
         elif t in (DOTTED, WORD) and not comp_dotted:
             enclosed = (prev in ("[", "(", "/", "|") and nxt in ("]", ")", "|", ":"))
             tag = nxt == "[" and after(i + 2) == NUMBER and after(i + 3) == "]"
@@ -248,7 +253,7 @@ def layout_of(ts: list[str]) -> Layout | None:
             dash = t == DOTTED and nxt == " " and after(i + 2) == "-"
             before_level = t == DOTTED and nxt == " " and after(i + 2) == LEVEL and not level
             if (time or level) and (enclosed or tag or colon or dash or before_level):
-                if comp and t != DOTTED:
+                if (comp or shapes < 2) and t != DOTTED:
                     break
                 groups += 1
                 comp, comp_dotted = groups, t == DOTTED
@@ -276,7 +281,7 @@ def layout_of(ts: list[str]) -> Layout | None:
         else:
             break
         i += 1
-    if not (time or (level and comp)):
+    if not (time or (level and comp and shapes > 1)):
         return None
     if not time and level and comp and not (ts[0] == LEVEL or ts[0] in "[<("):
         return None
@@ -292,71 +297,93 @@ def _tag_follows(ts: list[str], i: int) -> bool:
     return t in (WORD, DOTTED) and n in ("[", ":")
 
 
-def cluster(shapes: Iterable[tuple[str, int]], similarity: float = 0.6) -> list[tuple[list[str], int]]:
-    """Merge token lists into templates by longest common subsequence.
+def roles(ts: list[str]) -> tuple[str, ...]:
+    """What a template's header tells: its time's format, level, component."""
+    lay = layout_of(ts)
+    return (lay.kind, *(["level"] if lay.level else []), *(["component"] if lay.component else [])) if lay else ()
+
+
+def cluster(shapes: Iterable[tuple[str, int, int]], similarity: float = 0.8) -> list[tuple[list[str], int, int]]:
+    """Merge (shape, lines, shapes merged so far) into templates by longest common subsequence.
 
     A shape joins the template with which it shares the most tokens, if these
-    are at least ``similarity`` of the longer one and the merged template still
-    opens with the layout both have: a slot with a role is never lost.
-    Frequent shapes come first, ties in text order, so the result doesn't
-    depend on the order of the input.
+    are at least ``similarity`` of the constant ones of the shorter (without a
+    header: the longer) and the merged template tells what both told: a slot
+    with a role is never lost. Frequent
+    shapes come first, ties in text order, so the result doesn't depend on the
+    order of the input.
     """
     out: list[list] = []
     buckets: dict[str, list[int]] = {}
-    for shape, count in sorted(shapes, key=lambda x: (-x[1], x[0])):
+    for shape, lines, n_shapes in sorted(shapes, key=lambda x: (-x[1], x[0])):
         ts = tokens(shape)
-        own = layout_of(ts)
-        key = own.key if own else "|".join(ts[:2])
+        mine = roles(ts)
+        # a line may only begin where its program's lines begin
+        bucket = buckets.setdefault(ts[0] if ts else "", [])
         best, most = None, 0
-        for k in buckets.get(key, ()):
+        for k in bucket:
             other = out[k][0]
             n = lcs_length(other, ts)
-            if n > most and n >= similarity * max(len(other) - other.count(GAP), len(ts)):
+            constant = len(other) - other.count(GAP)
+            if n > most and n >= similarity * (min if mine else max)(constant, len(ts)) and out[k][3] == mine:
                 best, most = k, n
         if best is not None:
             merged = lcs_template(out[best][0], ts)
-            again = layout_of(merged)
-            if (again.key if again else None) == (own.key if own else None):
-                out[best][0] = merged
-                out[best][1] += count
+            if roles(merged) == mine:
+                out[best] = [merged, out[best][1] + lines, out[best][2] + n_shapes, mine]
                 continue
-        buckets.setdefault(key, []).append(len(out))
-        out.append([ts, count])
-    return [(t, n) for t, n in out]
+        bucket.append(len(out))
+        out.append([ts, lines, n_shapes, mine])
+    return [(t, n, k) for t, n, k, _ in out]
+
 
+TEMPLATES = "template string, lines bigint, shapes bigint, regex string, time_group int, time_kind string, level_group int, component_group int"
 
-def mine(df: DataFrame, line: str, *, partitions: int = 16, similarity: float = 0.6) -> DataFrame:
-    """Templates of all lines: ``template`` string, ``lines`` bigint, and its layout.
+
+def mine(df: DataFrame, line: str, *, similarity: float = 0.8) -> DataFrame:
+    """Templates of all lines: ``template`` string, ``lines`` and ``shapes`` bigint, and its layout.
 
     Shapes are counted with a hash aggregate (map-side first), clustered per
-    partition of shapes, and the partition templates merged by layout. The
-    number of rows depends on how many ways of writing there are, not on lines.
+    partition of shapes, and the partition templates merged the same way per
+    first tokens. The number of rows depends on how many ways of writing there
+    are, not on lines. Null lines are left out.
     """
     first = df.where(F.col(line).isNotNull()).select(alike(F.col(line)).alias("z")).groupBy("z").agg(F.count(F.lit(1)).alias("n"))
     shapes = first.select(mask(F.col("z")).alias("shape"), "n").groupBy("shape").agg(F.sum("n").alias("lines"))
 
-    def rows(found: list[tuple[list[str], int]]) -> pd.DataFrame:
+    def rows(found: list[tuple[list[str], int, int]]) -> pd.DataFrame:
         got = []
-        for t, n in found:
-            lay = layout_of(t)
-            got.append(("".join(t), n, lay.regex if lay else None, lay.time if lay else 0, lay.kind if lay else "", lay.level if lay else 0, lay.component if lay else 0))
-        return pd.DataFrame(got, columns=["template", "lines", "regex", "time_group", "time_kind", "level_group", "component_group"])
+        for t, n, k in found:
+            lay = layout_of(t, k)
+            got.append(("".join(t), n, k, lay.regex if lay else None, lay.time if lay else 0, lay.kind if lay else "", lay.level if lay else 0, lay.component if lay else 0))
+        return pd.DataFrame(got, columns=[c.split()[0] for c in TEMPLATES.split(", ")])
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[str, int]] = []
+        held: list[tuple[str, int, int]] = []
         for b in batches:
-            held += list(zip(b["shape"], (int(x) for x in b["lines"])))
+            held += [(s, int(n), 1) for s, n in zip(b["shape"], b["lines"])]
             if len(held) > 50_000:
-                held = [("".join(t), n) for t, n in cluster(held, similarity)]
+                held = [("".join(t), n, k) for t, n, k in cluster(held, similarity)]
         yield rows(cluster(held, similarity))
 
-    schema = "template string, lines bigint, regex string, time_group int, time_kind string, level_group int, component_group int"
-    local = shapes.repartition(partitions, "shape").mapInPandas(part, schema)
-
     def merge(g: pd.DataFrame) -> pd.DataFrame:
-        return rows(cluster(list(zip(g["template"], (int(x) for x in g["lines"]))), similarity))
+        return rows(cluster([(t, int(n), int(k)) for t, n, k in zip(g["template"], g["lines"], g["shapes"])], similarity))
+
+    # lines that open with free text tell no header: they are merged by more of their beginning, so no group is large
+    local = shapes.mapInPandas(part, TEMPLATES)
+    head = F.substring("template", 1, 1)
+    return local.groupBy(F.when(head.isin(*FREE, " ", "\t"), F.substring("template", 1, 4)).otherwise(head).alias("h")).applyInPandas(merge, TEMPLATES)
+
+
+KIND_NAMES = {
+    **{t: "time" for t in TIMES}, LEVEL: "level", DOTTED: "name", IDENT: "id", NUMBER: "number", WORD: "text", ADDRESS: "address", ZONE: "zone", GAP: "...",
+}
+
 
-    return local.groupBy(F.coalesce("regex", F.lit("")).alias("r"), F.col("time_kind").alias("k")).applyInPandas(merge, schema)
+def readable(template: str) -> str:
+    """A template as text: constants as they are, variable slots as ``<kind>``."""
+    names = {JKEY0: '"', JKEY1: '": ', FKEY0: "", FKEY1: "="}
+    return "".join(f"<{KIND_NAMES[t]}>" if t in KIND_NAMES else "".join(names.get(x, x) for x in t) for t in tokens(template))
 
 
 #: Bound on distinct layouts; each is one branch of the compiled parse expression.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import delivery, entries, hierarchy, lateness, nested
+from tidelog.operators import delivery, entries, hierarchy, lateness, nested, templates
 from tidelog.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return entries.found_entries(table(spark, d, "log_entry"), table(spark, d, "grouped_entry"))
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return entries.all_lines(table(spark, d, "log_entry"), table(spark, d, "grouped_entry"))
+
+
+def p2_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The templates of all lines: constants and slots, lines, shapes merged,
+    and what the header's slots hold."""
+    m = templates.mine(_lines(spark, d), "line")
+    text = F.udf(templates.readable, "string")
+    return m.select(text("template").alias("template"), "lines", "shapes", (F.col("time_group") > 0).alias("has_time"), (F.col("level_group") > 0).alias("has_level"), (F.col("component_group") > 0).alias("has_component"))
+
+
+def p2_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries with their message and all of their lines."""
+    lines = _lines(spark, d)
+    parsed = entries.parse_headers(lines, templates.layouts(lines, "line"))
+    return entries.entry_texts(parsed).select("source_table", "row_id", "line_no", "event_us", "log_level", "component", "message", "lines")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(table(spark, d, "trace_span"))
 
@@ -67,7 +86,7 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_paths, p3_rings, p5_found, p5_tables, p6_partials, p6_found, p7_found, p7_kept)}
+    return {f.__name__: f for f in (p2_found, p2_templates, p2_entries, p3_found, p3_paths, p3_rings, p5_found, p5_tables, p6_partials, p6_found, p7_found, p7_kept)}
 
 
 _KEY = "lower(regexp_replace(event_id, '^\\s+|\\s+$', '', 'g'))"
