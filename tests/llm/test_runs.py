@@ -43,12 +43,47 @@ def test_runs_over_any_blocks_equal_brute_force(spark):
             assert {(x.stream, x.first_id, x.last_id, x.event_count) for x in got.collect()} == want, block
 
 
-def test_near_equal_events_and_gaps(spark):
-    ev = [("t", "s", i, k, t, 1, at, at, False, 0) for i, (k, t, at) in enumerate([("a", [1, 2, 3, 4, 5], 0), ("b", [1, 2, 3, 4, 6], 1), ("c", [9], 2), ("c", [9], 3), ("c", [9], 100)])]
+def brute_similar(events, theta, gap):
+    """Equal neighbours first; then, of all neighbouring runs whose touching events are alike and near, the most similar ones again and again."""
+    runs = []
+    for e in sorted(events, key=lambda e: e[2]):
+        if runs and runs[-1]["key"] == e[3] and e[6] - runs[-1]["t1"] <= gap:
+            runs[-1].update(last=e[2], n=runs[-1]["n"] + 1, t1=max(runs[-1]["t1"], e[7]))
+        else:
+            runs.append({"key": e[3], "rep": set(e[4]), "end": set(e[4]), "first": e[2], "last": e[2], "n": 1, "t0": e[6], "t1": e[7]})
+    jac = lambda a, b: len(a & b) / len(a | b)
+    for x, y in zip(runs, runs[1:]):
+        x["link"] = jac(x["end"], y["rep"]) >= theta and y["t0"] - x["t1"] <= gap
+    while True:
+        best = max(((jac(x["rep"], y["rep"]), -i) for i, (x, y) in enumerate(zip(runs, runs[1:])) if x["link"]), default=(0, 0))
+        if best[0] < theta or not best[0]:
+            return {(x["first"], x["last"], x["n"]) for x in runs}
+        i = -best[1]
+        x, y = runs[i], runs.pop(i + 1)
+        x.update(last=y["last"], n=x["n"] + y["n"], link=y.get("link", False))
+
+
+def test_near_equal_runs_over_any_blocks_equal_brute_force(spark):
+    r = random.Random(8)
+    kinds = {"a": [1, 2, 3, 4, 5], "b": [1, 2, 3, 4, 6], "c": [1, 2, 3, 7, 6], "d": [1, 2, 8, 7, 6], "e": [9, 10], "f": [9, 10, 11]}
+    ev, at = [], 0
+    for i in range(250):
+        k = r.choice("aabbccddef")
+        at += r.choice([1, 1, 1, 40])
+        ev.append(("t", "s", i, k, kinds[k], 1, at, at, False, 7))
     df = spark.createDataFrame(ev, S)
-    got = sorted((x.first_id, x.last_id) for x in R.collapse(df, min_similarity=0.6, max_gap_us=10).collect())
-    assert got == [(0, 1), (2, 3), (4, 4)]
-    assert R.collapse(df.limit(0)).count() == 0
+    for theta, gap in ((0.6, 20), (0.4, 1000)):
+        want = brute_similar(ev, theta, gap)
+        for block in (1, 7, 100_000):
+            got = {(x.first_id, x.last_id, x.event_count) for x in R.collapse_similar(df, min_similarity=theta, max_gap_us=gap, block=block).collect()}
+            assert got == want, (theta, block)
+    assert R.collapse_similar(df.limit(0), min_similarity=0.5).count() == 0
+
+
+def test_null_tokens_are_like_nothing(spark):
+    ev = [("t", "s", i, k, None, 1, 0, 0, False, 0) for i, k in enumerate("aab")]
+    got = {(x.first_id, x.last_id, x.n_kinds) for x in R.collapse_similar(spark.createDataFrame(ev, S), min_similarity=0.1).collect()}
+    assert got == {(0, 1, 1), (2, 2, 1)}
 
 
 def test_most_similar_pair_goes_first():
@@ -75,3 +110,7 @@ def test_found_runs_of_both_tables(spark):
     ded = spark.createDataFrame([(a, b, c, d, e, t0, None) for a, b, c, d, e in dd], "group_id bigint, stream_name string, line string, entry_idx bigint, event_count bigint, first_ts timestamp, last_ts timestamp")
     got = {(r.source_table, r.first_id, r.last_id, r.event_count) for r in R.found_runs(log, ded).collect()}
     assert got == {("log_entry", 1, 4, 8), ("dedup_group", 1, 2, 4), ("dedup_group", 4, 4, 2)}
+    times = {r.first_id: (r.first_us, r.last_us) for r in R.found_runs(log, ded).where("source_table = 'log_entry'").collect()}
+    us = int(t0.timestamp()) * 1_000_000
+    assert times == {1: (us + 1_000_000, us + 4_000_000)}, "the times that the events state"
+    assert R.similar_runs(log, ded, min_similarity=0.5).where("source_table = 'log_entry'").count() >= 1

@@ -26,10 +26,21 @@ def p1_certified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    found = runs.found_runs(table(spark, d, "log_entry"), table(spark, d, "dedup_group"))
+    """The runs without their times, which are therefore not read."""
+    found = runs.found_runs(table(spark, d, "log_entry"), table(spark, d, "dedup_group"), times=False)
     return found.select("source_table", "first_id", "last_id", "event_count")
 
 
+def p4_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Each run as one event: count, first and last time as its events state them."""
+    return runs.found_runs(table(spark, d, "log_entry"), table(spark, d, "dedup_group"))
+
+
+def p4_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of equal or nearly equal events at most ten minutes apart."""
+    return runs.similar_runs(table(spark, d, "log_entry"), table(spark, d, "dedup_group"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -62,7 +73,7 @@ def p10_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p8_found, p9_mix, p9_shares, p10_found, p10_composition, p10_rules)}
+    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p4_runs, p4_similar, p8_found, p9_mix, p9_shares, p10_found, p10_composition, p10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

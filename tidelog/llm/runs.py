@@ -4,7 +4,9 @@ Adjacent agglomeration: the events of an entity form a linked list of runs; a
 priority queue over neighbouring pairs repeatedly merges the most similar pair
 until no pair meets the similarity and the gap limit. Entities are cut into
 blocks of consecutive sequence numbers, so a hot stream is worked on by many
-tasks; runs at block borders are then joined over a few rows per block.
+tasks; runs at block borders are then joined over a few rows per block. Equal
+neighbours always merge first, so near-equal ones are looked for among the runs
+of equal ones, and only inside chains of touching runs that are similar.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import entries as E
 from tidelog.operators import templates as T
-from tidelog.runtime import cut
+from tidelog.runtime import cut, drop_cut
 
 BLOCK = 1 << 18
 REPEATED = r"(?:^|[ :])(?:last )?message repeated (\d{1,15}) times(?::? *\[ .*\])?\s*$"
@@ -92,20 +94,20 @@ def agglomerate(events: list[tuple], min_similarity: float, max_gap: int | None)
 RUN = "source_table string, stream string, block bigint, run int, side int, key string, toks array<bigint>, first_id bigint, last_id bigint, event_count bigint, first_us bigint, last_us bigint"
 
 
-def collapse(events: DataFrame, *, min_similarity: float = 1.0, max_gap_us: int | None = None, block: int = BLOCK) -> DataFrame:
-    """One row per maximal run: first and last id, count, first and last time.
+def collapse(events: DataFrame, *, max_gap_us: int | None = None, block: int = BLOCK, singles: bool = False) -> DataFrame:
+    """One row per maximal run of equal events: first and last id, count, first and last time.
 
     ``events``: source_table, stream, id (unique order within the stream), key
-    (equal keys are the same event), toks (array<bigint> or null, compared only
-    below similarity 1), weight, first_us, last_us, repeat (a report that the
+    (equal keys are the same event), toks (array<bigint> or null, those of the
+    first event are carried), weight, first_us, last_us, repeat (a report that the
     event before was repeated ``weight`` times; it has no key of its own).
 
     Block borders: the first and last run of each block go on to one pass per
-    stream, where neighbours with equal keys within the gap limit become one.
-    With ``min_similarity`` 1 the result is that of the unbroken stream; below
-    1, runs whose representatives differ aren't merged across a border. A
-    repeat report with no event before it in its stream is left out. Null
-    weights count as 1, null keys never match, null times as no gap.
+    stream, where neighbours with equal keys within the gap limit become one;
+    the result is that of the unbroken stream. A repeat report with no event
+    before it in its stream is left out. Null weights count as 1, null keys
+    never match, null times as no gap. Runs of one event worth 1 may be missing
+    unless ``singles`` is set.
     """
     names = [x.split()[0] for x in RUN.split(", ")]
 
@@ -115,12 +117,12 @@ def collapse(events: DataFrame, *, min_similarity: float = 1.0, max_gap_us: int
         out: list[tuple] = []
 
         def close() -> None:
-            runs = agglomerate(held, min_similarity, max_gap_us)
+            runs = agglomerate(held, 1.0, max_gap_us)
             n = len(runs)
             head = 2 if n > 1 and runs[0][0] is None else 1
             for k, r in enumerate(runs):
                 side = 1 if k < head or k == n - 1 else 0
-                if side or r[4] > 1:
+                if side or singles or r[4] > 1:
                     out.append((*at, k, side, r[0], None if r[1] is None else list(r[1]), r[2], r[3], r[4], r[5], r[6]))
 
         for b in batches:
@@ -152,43 +154,131 @@ def collapse(events: DataFrame, *, min_similarity: float = 1.0, max_gap_us: int
     joined = F.col("key").isNull() | ((prev == F.col("eff")) & ((F.lag("block").over(w) != F.col("block")) | F.lag("key").over(w).isNull()) & near)
     sides = sides.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("g", F.sum("new").over(w))
     merged = sides.where("eff is not null").groupBy("source_table", "stream", "g").agg(
-        F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("event_count").alias("event_count"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
+        F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("event_count").alias("event_count"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
+        F.min_by("toks", "first_id").alias("toks"),
     )
-    cols = ["source_table", "stream", "first_id", "last_id", "event_count", "first_us", "last_us"]
+    cols = ["source_table", "stream", "first_id", "last_id", "event_count", "first_us", "last_us", "toks"]
     return runs.where("side = 0").select(cols).unionByName(merged.select(cols))
 
 
-def log_events(log_entry: DataFrame) -> DataFrame:
-    """log_entry's entries as events, whole texts compared by a digest. First
-    and last time of a run are those of its rows, as in dedup_group."""
+#: Runs of equal events in one chain; it is held by one task (about 500 bytes each).
+MAX_CHAIN = 1_000_000
+CHAIN = "source_table string, stream string, first_id bigint, last_id bigint, event_count bigint, first_us bigint, last_us bigint, n_kinds int"
+
+
+def jaccard_column(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(1.0))
+
+
+def collapse_similar(events: DataFrame, *, min_similarity: float, max_gap_us: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Runs of equal or nearly equal events, as :func:`collapse`, with ``n_kinds``, how many different neighbours were merged.
+
+    Equal neighbours merge before all others, so the runs of equal events come
+    first. Two runs may merge only while the events that touch are at least
+    ``min_similarity`` alike (Jaccard of ``toks``) and at most ``max_gap_us``
+    apart: that depends on the two alone, so a stream falls into chains that
+    never merge with each other. In each chain the priority queue merges the
+    most similar neighbours, the leftmost first among equals, while the first
+    events of both are similar enough. The result doesn't depend on ``block``.
+    A chain beyond ``MAX_CHAIN`` runs is an error, not cut. Null ``toks`` are
+    like nothing but equal keys.
+    """
+    runs = cut(collapse(events, max_gap_us=max_gap_us, block=block, singles=True).withColumn("_b", F.floor(F.col("first_id") / block)))
+    key = ["source_table", "stream"]
+    here, over = W.partitionBy(*key, "_b").orderBy("first_id"), W.partitionBy(*key).orderBy("_b")
+    tail = runs.groupBy(*key, "_b").agg(F.max_by(F.struct("toks", "last_us"), "first_id").alias("_t"))
+    tail = tail.withColumn("_before", F.lag("_t").over(over)).drop("_t")
+    before = F.coalesce(F.lag(F.struct("toks", "last_us")).over(here), F.col("_before"))
+    near = F.lit(True) if max_gap_us is None else F.coalesce(F.col("first_us") - F.col("_p.last_us") <= max_gap_us, F.lit(True))
+    alike = F.coalesce(jaccard_column(F.col("_p.toks"), F.col("toks")) >= min_similarity, F.lit(False)) & F.col("_p.toks").isNotNull() & F.col("toks").isNotNull()
+    linked = cut(runs.join(tail, [*key, "_b"]).withColumn("_p", before).withColumn("_start", F.when(~(alike & near), F.col("first_id"))).drop("_before", "_p"))
+    drop_cut(runs)
+    # the chain of a row: the last start up to it, in its block or an earlier one
+    ends = linked.groupBy(*key, "_b").agg(F.max("_start").alias("_s")).withColumn("_carry", F.max("_s").over(over.rowsBetween(W.unboundedPreceding, -1))).drop("_s")
+    chain = linked.join(ends, [*key, "_b"]).withColumn("chain", F.coalesce(F.max("_start").over(here.rowsBetween(W.unboundedPreceding, W.currentRow)), F.col("_carry")))
+    names = [x.split()[0] for x in CHAIN.split(", ")]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        at = None
+        out: list[tuple] = []
+
+        def close() -> None:
+            if len(held) > MAX_CHAIN:
+                raise ValueError(f"a chain of more than {MAX_CHAIN} similar neighbours; raise the similarity or set a gap limit")
+            kinds = iter(held)
+            for r in agglomerate([(i, None if toks is None else toks, toks, n, a, b, False) for i, _, n, a, b, toks in held], min_similarity, None):
+                mine = [next(kinds)]
+                while mine[-1][0] != r[3]:
+                    mine.append(next(kinds))
+                out.append((*at[:2], r[2], mine[-1][1], r[4], r[5], r[6], len(mine)))
+
+        for b in batches:
+            for s, st, c, i, last, n, t0, t1, toks in zip(b["source_table"], b["stream"], b["chain"], b["first_id"], b["last_id"], b["event_count"], b["first_us"], b["last_us"], b["toks"]):
+                if at != (s, st, c):
+                    if held:
+                        close()
+                        held = []
+                    at = (s, st, c)
+                held.append((i, last, n, t0, t1, None if toks is None else frozenset(toks)))
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=names)
+                out.clear()
+        if held:
+            close()
+        yield pd.DataFrame(out, columns=names)
+
+    placed = chain.select(*key, "chain", "first_id", "last_id", "event_count", "first_us", "last_us", "toks").repartition(*key, "chain").sortWithinPartitions(*key, "chain", "first_id")
+    return placed.mapInPandas(work, CHAIN)
+
+
+def words(line: Column) -> Column:
+    """The distinct words of a line's constant text, as hashes."""
+    return F.array_distinct(F.transform(F.split(constant_text(line), " "), lambda x: F.xxhash64(x)))
+
+
+def log_events(log_entry: DataFrame, *, times: bool = True, tokens: bool = False) -> DataFrame:
+    """log_entry's entries as events, whole texts compared by a digest.
+
+    The time of an event is the one its header states; with ``times`` off, for
+    callers that have no use for it, the row's. ``tokens`` adds the words of the
+    entry's first line.
+    """
     lines = E.log_lines(log_entry)
-    layouts = T.layouts(lines, "line")
-    parsed = E.parse_headers(lines, layouts, times=False)
+    parsed = E.parse_headers(lines, T.layouts(lines, "line"), times=times)
     told = F.try_to_number(F.regexp_extract(F.lower("line"), REPEATED, 1), F.lit("999999999999999"))
     rep = F.when(F.contains(F.col("line"), F.lit("repeated")), told)
     text = F.concat(F.lit("k"), constant_text(F.col("line")))
-    both = E.group_entries(parsed.withColumn("component", F.struct("component", rep.alias("k"))), text=text)
+    toks = words(F.col("line")) if tokens else F.lit(None).cast("array<bigint>")
+    both = E.group_entries(parsed.withColumn("component", F.struct("component", rep.alias("k"), *([toks.alias("t")] if tokens else []))), text=text)
     k = F.when(F.col("n_lines") == 1, F.col("component.k"))
     return both.select(
         "source_table", "stream", F.col("row_id").alias("id"),
         F.concat_ws("\x1f", "log_level", "component.component", "n_lines", "d0", "d1").alias("key"),
-        F.lit(None).cast("array<bigint>").alias("toks"), F.coalesce(k, F.lit(1)).cast("bigint").alias("weight"),
+        (F.col("component.t") if tokens else toks).alias("toks"), F.coalesce(k, F.lit(1)).cast("bigint").alias("weight"),
         F.col("event_us").alias("first_us"), F.col("event_us").alias("last_us"), k.isNotNull().alias("repeat"),
     )
 
 
-def relay_events(dedup_group: DataFrame) -> DataFrame:
-    """dedup_group's rows as events, each worth its event_count."""
-    rows = dedup_group.select(F.lit("dedup_group").alias("source_table"), F.coalesce("stream_name", F.lit("")).alias("stream"), F.col("group_id").alias("id"), F.coalesce("line", F.lit("")).alias("line"), F.unix_micros("first_ts").alias("ts_us"), F.unix_micros("last_ts").alias("last_us"), F.col("event_count").alias("weight"))
+def relay_events(dedup_group: DataFrame, *, tokens: bool = False) -> DataFrame:
+    """dedup_group's rows as events, each worth its event_count, from its first
+    to its last time (a missing one is the other)."""
+    rows = dedup_group.select(F.lit("dedup_group").alias("source_table"), F.coalesce("stream_name", F.lit("")).alias("stream"), F.col("group_id").alias("id"), F.coalesce("line", F.lit("")).alias("line"), F.unix_micros(F.coalesce("first_ts", "last_ts")).alias("ts_us"), F.unix_micros(F.coalesce("last_ts", "first_ts")).alias("last_us"), F.col("event_count").alias("weight"))
     parsed = E.parse_headers(rows, T.layouts(rows, "line"), times=False)
     return parsed.select(
         "source_table", "stream", "id",
         F.concat_ws("\x1f", "log_level", "component", F.xxhash64(constant_text(F.col("line"))), F.hash(constant_text(F.col("line")))).alias("key"),
-        F.lit(None).cast("array<bigint>").alias("toks"), "weight", F.col("ts_us").alias("first_us"), "last_us", F.lit(False).alias("repeat"),
+        (words(F.col("line")) if tokens else F.lit(None).cast("array<bigint>")).alias("toks"), "weight", F.col("ts_us").alias("first_us"), "last_us", F.lit(False).alias("repeat"),
     )
 
 
-def found_runs(log_entry: DataFrame, dedup_group: DataFrame) -> DataFrame:
-    """Maximal runs of two or more events in both tables."""
-    events = log_events(log_entry).unionByName(relay_events(dedup_group))
-    return collapse(events).where("event_count > 1")
+def found_runs(log_entry: DataFrame, dedup_group: DataFrame, *, times: bool = True) -> DataFrame:
+    """Maximal runs of two or more events in both tables, with first and last time."""
+    events = log_events(log_entry, times=times).unionByName(relay_events(dedup_group))
+    return collapse(events).where("event_count > 1").drop("toks")
+
+
+def similar_runs(log_entry: DataFrame, dedup_group: DataFrame, *, min_similarity: float = 0.7, max_gap_us: int = 600_000_000) -> DataFrame:
+    """Runs of two or more equal or nearly equal events in both tables."""
+    events = log_events(log_entry, tokens=True).unionByName(relay_events(dedup_group, tokens=True))
+    return collapse_similar(events, min_similarity=min_similarity, max_gap_us=max_gap_us).where("event_count > 1")
