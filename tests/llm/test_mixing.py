@@ -49,7 +49,22 @@ def test_empty_tables(spark):
 
 
 def test_long_text_is_counted_whole(spark):
-    text = "alpha beta\n" * 30_000
-    d = spark.createDataFrame([(1, text), (2, "alpha beta\n" * 3)], "doc_id bigint, text string")
-    n = {r.doc_id: r.n_tokens for r in M.token_counts(d, ["doc_id"]).collect()}
-    assert abs(n[1] - n[2] * 10_000) <= 10
+    r = random.Random(1)
+    texts = ["alpha beta\n" * 30_000, " ".join(r.choice(["it's", "größe", "x9", "naïve", "don't", "42", "...", "日本"]) for _ in range(60_000)), "x" * 200_000, "ab cd " * 40_000 + "  \n\t" * 50]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    n = {x.doc_id: x.n_tokens for x in M.token_counts(d, ["doc_id"]).collect()}
+    tok = M._tokenizer(M.TOKENIZER)
+    assert n == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert len(M.pieces(texts[0])) > 3 and "".join(M.pieces(texts[1])) == texts[1]
+
+
+def test_goals_bisect_the_exponent(spark):
+    docs = [(i, "word " * 10, "big" if i % 10 else "small") for i in range(2000)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "small", 0.5, 3)], "mix_name string, doc_source string, target_share double, max_repeats int")
+    rep = {x.doc_source: x for x in M.mix(d, t, total="all")[1].collect()}
+    assert 0 < rep["small"].exponent < 1 and rep["small"].most_copies == 3 and abs(rep["small"].reached_share - 0.3) < 0.01
+    rep = M.mix(d, t, evenness=0.8)[1].collect()
+    assert abs(M.entropy({x.doc_source: x.reached_share for x in rep}) - 0.8 * math.log(2)) < 0.01
+    sharp = M.exponent_for_entropy({"a": 0.6, "b": 0.4}, 0.3)
+    assert sharp > 1 and abs(M.entropy(M.powered({"a": 0.6, "b": 0.4}, sharp)) - 0.3) < 1e-6

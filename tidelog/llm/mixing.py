@@ -12,6 +12,7 @@ at the border is cut document by document.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCKS = 4096
 #: Bound on mix rows and sources that go to the driver; both are settings, not data.
 MAX_SOURCES = 100_000
+#: Longer texts are counted in pieces, cut where the tokenizer cuts anyway.
 PIECE = 1 << 16
+#: Before a blank between two ASCII letters: no token of a byte-level tokenizer reaches over it.
+CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 #: Characters per call of the tokenizer; its answers take some hundred bytes a token.
 FLUSH_CHARS = 200_000
 
@@ -48,47 +52,50 @@ def _tokenizer(path: str):
     return t
 
 
+def pieces(text: str, size: int = PIECE) -> list[str]:
+    """The text in pieces of some ``size`` characters whose token counts add up
+    to that of the whole; a text without a place to cut stays whole."""
+    out, at = [], 0
+    while len(text) - at > size:
+        m = CUT.search(text, at + size)
+        if not m:
+            break
+        out.append(text[at : m.start()])
+        at = m.start()
+    out.append(text[at:])
+    return out
+
+
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``keep`` and ``n_tokens`` of each document; null and empty texts have 0.
 
-    Batched calls of the tokenizer; texts are cut at line ends, never inside a
-    word, into pieces of some 64k characters to bound the memory of one call.
+    Batched calls of the tokenizer over bounded pieces (:func:`pieces`); counts
+    are those of the whole texts.
     """
     types = dict(docs.dtypes)
 
-    def pieces(t: str) -> list[str]:
-        if len(t) <= PIECE:
-            return [t]
-        out, at = [], 0
-        while at < len(t):
-            end = t.find("\n", at + PIECE)
-            end = len(t) if end < 0 else end
-            out.append(t[at:end])
-            at = end
-        return out
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = _tokenizer(tokenizer)
+        encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
         for b in batches:
             n = [0] * len(b)
             parts, owner = [], []
 
             def flush() -> None:
-                for i, e in zip(owner, tok.encode_batch(parts, add_special_tokens=False)):
-                    n[i] += len(e.ids)
+                for i, e in zip(owner, encode(parts, add_special_tokens=False)):
+                    n[i] += len(e)
                 parts.clear()
                 owner.clear()
 
             size = 0
             for i, t in enumerate(b["_t"]):
-                for p in pieces(t or ""):
-                    if p:
-                        parts.append(p)
-                        owner.append(i)
-                        size += len(p)
-                if size > FLUSH_CHARS:
-                    flush()
-                    size = 0
+                for p in pieces(t) if t else ():
+                    parts.append(p)
+                    owner.append(i)
+                    size += len(p)
+                    if size > FLUSH_CHARS:
+                        flush()
+                        size = 0
             if parts:
                 flush()
             out = b.drop(columns="_t")
@@ -110,29 +117,38 @@ def entropy(w: dict[str, float]) -> float:
     return -sum(v * math.log(v) for v in w.values() if v > 0)
 
 
-def exponent_for_entropy(natural: dict[str, float], wanted: float, steps: int = 60) -> float:
-    """The temperature exponent in [0, 1] whose weights natural ** exponent have
-    the wanted entropy (1: natural shares, 0: uniform), by bisection."""
-    lo, hi = 0.0, 1.0
+def exponent_for_entropy(natural: dict[str, float], wanted: float, steps: int = 60, most: float = 16.0) -> float:
+    """The exponent whose weights natural ** exponent have the wanted entropy
+    (1: natural shares, 0: uniform, above 1: sharper), by bisection."""
+    lo, hi = 0.0, most
     for _ in range(steps):
         mid = (lo + hi) / 2
-        raw = {s: v**mid for s, v in natural.items() if v > 0}
-        total = sum(raw.values())
-        if entropy({s: v / total for s, v in raw.items()}) > wanted:
+        if entropy(powered(natural, mid)) > wanted:
             lo = mid
         else:
             hi = mid
     return (lo + hi) / 2
 
 
-def weights(tokens: dict[str, int], target: dict[str, float], repeats: dict[str, int], total: float | None = None, steps: int = 60) -> tuple[dict[str, float], float, float]:
+def powered(natural: dict[str, float], exponent: float) -> dict[str, float]:
+    """Weights proportional to natural ** exponent."""
+    top = max(natural.values())
+    raw = {s: (v / top) ** exponent for s, v in natural.items() if v > 0}
+    total = sum(raw.values())
+    return {s: v / total for s, v in raw.items()}
+
+
+def weights(tokens: dict[str, int], target: dict[str, float], repeats: dict[str, int], total: float | str | None = None, steps: int = 60, evenness: float | None = None) -> tuple[dict[str, float], float, float]:
     """(weight by source, total tokens, exponent).
 
     Without a total it is the largest at which the target shares hold within
     the repeat limits (exponent 1). With a larger total the exponent is bisected
     down until the limits hold; where not even exponent 0 does, sources at their
     limit give all they may and the rest keeps its proportions. Sources without
-    tokens get weight 0 and the others share what they leave.
+    tokens get weight 0 and the others share what they leave. ``total`` may be
+    ``"all"``: as many tokens as the sources have. With ``evenness`` the targets
+    only say which sources take part: the exponent of the natural shares is
+    bisected to an entropy of ``evenness`` times the greatest possible.
     """
     have = {s: t for s, t in tokens.items() if t > 0 and s in target and target[s] > 0 and repeats.get(s, 0) > 0}
     if not have:
@@ -141,6 +157,12 @@ def weights(tokens: dict[str, int], target: dict[str, float], repeats: dict[str,
     natural = {s: t / size for s, t in have.items()}
     goal = tempered(natural, {s: target[s] for s in have}, 1.0)
     room = {s: have[s] * repeats[s] for s in have}
+    total = float(size) if total == "all" else total
+    if evenness is not None:
+        exponent = exponent_for_entropy(natural, evenness * math.log(len(have)), steps)
+        w = powered(natural, exponent)
+        most = min(room[s] / w[s] for s in have)
+        return w, min(total, most) if total is not None else most, exponent
     if total is None:
         total = min(room[s] / goal[s] for s in have)
     total = min(total, sum(room.values()))
@@ -164,8 +186,9 @@ def weights(tokens: dict[str, int], target: dict[str, float], repeats: dict[str,
         full |= set(over)
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+def plan(sizes: DataFrame, targets: DataFrame, total: float | str | None = None, evenness: float | None = None) -> DataFrame:
     """Per mix and source: weight, token budget, whole passes and the rest.
+    ``sizes``: doc_source, tokens, largest (tokens of its largest document).
 
     Works on one row per source and one per target, both settings-sized and
     checked against ``MAX_SOURCES``.
@@ -177,6 +200,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     if len(t_rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target rows")
     tokens = {r["doc_source"]: int(r["tokens"] or 0) for r in s_rows}
+    largest = {r["doc_source"]: int(r["largest"] or 0) for r in s_rows}
     out = []
     for mix in sorted({r[0] for r in t_rows}):
         target: dict[str, float] = {}
@@ -184,16 +208,16 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
         for _, s, share, most in (r for r in t_rows if r[0] == mix):
             target[s] = target.get(s, 0.0) + share
             repeats[s] = max(repeats.get(s, 0), most)
-        w, size, exponent = weights(tokens, target, repeats, total)
+        w, size, exponent = weights(tokens, target, repeats, total, evenness=evenness)
         for s in sorted(target):
             budget = min(w.get(s, 0.0) * size, float(tokens.get(s, 0) * repeats[s]))
             have = tokens.get(s, 0)
             passes = min(int((budget + 0.5) // have), repeats[s]) if have else 0
-            out.append((mix, s, target[s], repeats[s], w.get(s, 0.0), exponent, have, budget, passes, max(0.0, budget - passes * have) if passes < repeats[s] else 0.0))
-    return spark.createDataFrame(out, "mix_name string, doc_source string, target_share double, max_repeats int, weight double, exponent double, source_tokens bigint, budget double, passes int, rest double")
+            out.append((mix, s, target[s], repeats[s], w.get(s, 0.0), exponent, have, budget, passes, max(0.0, budget - passes * have) if passes < repeats[s] else 0.0, largest.get(s, 0)))
+    return spark.createDataFrame(out, "mix_name string, doc_source string, target_share double, max_repeats int, weight double, exponent double, source_tokens bigint, budget double, passes int, rest double, largest bigint")
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, tokenizer: str = TOKENIZER, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | str | None = None, evenness: float | None = None, tokenizer: str = TOKENIZER, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """(multiset, report): ``copies`` of each document per mix, and the shares reached.
 
     Every document of a source is used ``passes`` times; the last, partial pass
@@ -204,8 +228,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: st
     """
     named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), source_name(source).alias("doc_source"))
     counted = cut(token_counts(named.where("doc_source is not null and text <> ''"), ["doc_id", "doc_source"], "text", tokenizer))
-    sizes = counted.groupBy("doc_source").agg(F.sum("n_tokens").alias("tokens"))
-    plans = plan(sizes, targets, total)
+    sizes = counted.groupBy("doc_source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
+    plans = plan(sizes, targets, total, evenness)
     order = F.xxhash64(F.lit(seed), F.col("mix_name"), F.col("doc_id"))
     rows = counted.join(F.broadcast(plans), "doc_source").select("mix_name", "doc_source", "doc_id", "n_tokens", "passes", "rest", order.alias("o"), F.shiftrightunsigned(order, 52).cast("int").alias("block"))
     sums = rows.groupBy("mix_name", "doc_source", "block").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
@@ -222,7 +246,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: st
     chosen = cut(whole)
     got = chosen.groupBy("mix_name", "doc_source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("records"), F.max("copies").alias("most_copies"))
     report = plans.join(got, ["mix_name", "doc_source"], "left").select(
-        "mix_name", "doc_source", "target_share", "max_repeats", "source_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "exponent"
+        "mix_name", "doc_source", "target_share", "max_repeats", "source_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "exponent", "weight", "budget", "largest"
     )
     report = report.withColumn("reached_share", F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), F.sum("mixed_tokens").over(W.partitionBy("mix_name"))), F.lit(0.0)))
     return chosen, report

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.llm import digests, leaks, mixing, runs, subjects
@@ -55,6 +56,33 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
 
 
+GOALS = {"targets": {}, "all tokens": {"total": "all"}, "even": {"evenness": 0.9}}
+
+
+def p9_goals(spark: SparkSession, d: str) -> DataFrame:
+    """Every goal a mix may have: the targets, as many tokens as there are (the
+    exponent is bisected to the repeat limits), an entropy of nine tenths of the
+    greatest (bisected to it). Per source whether its copies keep the limit and
+    its tokens come within one document of the budget, and whether the shares
+    of the mix add up to 1."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_target")
+    out = None
+    for goal, how in GOALS.items():
+        r = mixing.mix(docs, targets, **how)[1]
+        r = r.select(
+            F.lit(goal).alias("goal"), "mix_name", "doc_source", "max_repeats", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"),
+            (F.abs(F.col("mixed_tokens") - F.col("budget")) <= F.col("largest") + 1).alias("within_a_document"),
+            (F.abs(F.sum("reached_share").over(W.partitionBy("mix_name")) - 1) < 1e-9).alias("adds_up"),
+        )
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """Exponents, weights and shares where the total is that of all sources."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"), total="all")[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subjects(table(spark, d, "documents"), table(spark, d, "subject_label"))
 
@@ -73,7 +101,7 @@ def p10_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p4_runs, p4_similar, p8_found, p9_mix, p9_shares, p10_found, p10_composition, p10_rules)}
+    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p4_runs, p4_similar, p8_found, p9_mix, p9_shares, p9_goals, p9_tempered, p10_found, p10_composition, p10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -95,4 +123,6 @@ FROM g, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (0
  d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
  h AS (SELECT doc_id, array_to_string(ws[i:i+12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d))
 SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)""",
+        "p9_goals": """SELECT goal, mix_name, regexp_replace(lower(trim(doc_source)), '[\\s-]+', '_', 'g') AS doc_source, max(max_repeats) AS max_repeats, TRUE AS within_repeats, TRUE AS within_a_document, TRUE AS adds_up
+FROM mix_target, (VALUES ('targets'), ('all tokens'), ('even')) AS g(goal) GROUP BY ALL""",
     }
