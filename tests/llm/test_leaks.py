@@ -37,21 +37,62 @@ def test_equals_brute_force(spark):
     assert set(rows) == brute(docs, items) and len(rows) == len(set(rows))
 
 
-def test_edits_and_empty_tables(spark):
-    base = [f"word{i}" for i in range(30)]
-    edited = base[:10] + ["changed"] + base[11:]
-    d = spark.createDataFrame([(1, " ".join(edited))], "doc_id bigint, text string")
-    i = spark.createDataFrame([(7, " ".join(base))], "item_id bigint, passage string")
-    r = L.find_leaks(d, i, max_edits=1).collect()[0]
-    assert r.run_words == 19 and r.edits == 1
+def edit_distance_infix(p, t):
+    row = [0] * (len(t) + 1)
+    for i in range(1, len(p) + 1):
+        new = [i]
+        for j in range(1, len(t) + 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p[i - 1] != t[j - 1])))
+        row = new
+    return min(row)
+
+
+def test_infix_edits():
+    r = random.Random(3)
+    for _ in range(200):
+        p = "".join(r.choice("abc ") for _ in range(r.randrange(1, 90)))
+        t = "".join(r.choice("abc ") for _ in range(r.randrange(0, 60))) + p[: r.randrange(len(p) + 1)]
+        assert L.infix_edits(p, t) == edit_distance_infix(p, t)
+
+
+def test_near_leaks_equal_brute_force(spark):
+    """Planted passages with edits: every pair within the budget is found, none beyond it."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9)))
+    items = [(i, " ".join(word() for _ in range(r.randrange(13, 22)))) for i in range(6)]
+    docs = []
+    for d in range(60):
+        p = list(r.choice(items)[1])
+        for _ in range(r.randrange(0, 12)):
+            at = r.randrange(len(p))
+            p[at : at + r.randrange(2)] = r.choice(["", "x", "z", "q"])
+        docs.append((d, " ".join(word() for _ in range(8)) + " " + "".join(p) + " " + " ".join(word() for _ in range(8))))
+    got = {(x.doc_id, x.item_id) for x in L.nearly_leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")).collect()}
+    want = set()
+    for i, p in items:
+        ws = L.words_of(p)
+        for d, t in docs:
+            joined = " ".join(L.words_of(t))
+            if any(edit_distance_infix(w, joined) <= int(len(w) * 0.05 + 1e-9) for w in (" ".join(ws[k : k + 13]) for k in range(len(ws) - 12))):
+                want.add((d, i))
+    assert got == want and 10 < len(want) < 60
+
+
+def test_empty_tables_and_parts(spark, monkeypatch):
+    base = [(k, " ".join(f"word{k}x{i}" for i in range(30))) for k in range(9)]
+    d = spark.createDataFrame([(k, t) for k, t in base], "doc_id bigint, text string")
+    i = spark.createDataFrame(base, "item_id bigint, passage string")
     assert L.leaked(d.limit(0), i).count() == 0 and L.leaked(d, i.limit(0)).count() == 0
+    monkeypatch.setattr(L, "MAX_PASSAGE_CHARS", 600)
+    assert {tuple(x) for x in L.leaked(d, i).collect()} == {(k, k) for k in range(9)}
 
 
-def test_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_PASSAGE_CHARS", 3)
-    i = spark.createDataFrame([(7, "long enough")], "item_id bigint, passage string")
+def test_short_windows_lower_q(spark):
+    i = L.Index([(1, "a b c d e f g h i j k l m")], 12, 13, 0.05)
+    assert i.q == 12 and i.need[0] > 0
+    assert L.Index([(1, "ab " * 13)], 12, 13, 0.1).q < 12
     with pytest.raises(ValueError):
-        L.leaked(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), i)
+        L.Index([(1, "ab " * 13)], 12, 13, 0.5)
 
 
 def test_run_behind_a_stretch_with_more_words(spark):

@@ -46,6 +46,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with 13 words of a passage up to one edit in 20 characters."""
+    return leaks.nearly_leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The multiset of each mix: copies of each document."""
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
@@ -101,7 +106,7 @@ def p10_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p4_runs, p4_similar, p8_found, p9_mix, p9_shares, p9_goals, p9_tempered, p10_found, p10_composition, p10_rules)}
+    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p4_runs, p4_similar, p8_found, p8_near, p9_mix, p9_shares, p9_goals, p9_tempered, p10_found, p10_composition, p10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
