@@ -61,6 +61,7 @@ def test_paths_descendants_and_rings(spark):
         assert {r.span_id: r.path for r in h.collect()} == {"a": "a", "b": "a/b", "c": "a/b/c", "d": "a/d", "x": None, "y": None, "z": None, "q": None}
         assert {(r.ancestor_id, r.descendant_id, r.distance) for r in H.descendants(h).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1)}
         assert {(r.span_id, r.on_ring) for r in H.rings(frame(spark, rows), max_group=limit).collect()} == {("x", True), ("y", True), ("z", False), ("q", True)}
+        assert {(r.span_id, r.cycle_id, r.n_members, r.back_edge) for r in H.rings(frame(spark, rows), max_group=limit).collect()} == {("x", "x", 2, True), ("y", "x", 2, False), ("z", "x", 2, False), ("q", "q", 1, True)}
 
 
 def test_empty_and_deep(spark):
@@ -69,3 +70,16 @@ def test_empty_and_deep(spark):
     for limit in (10_000, 100):
         r = H.hierarchy(frame(spark, chain), max_group=limit).where("span_id = 'n1499' or span_id = 'n0'").collect()
         assert {(x.span_id, x.span_depth, x.n_descendants) for x in r} == {("n1499", 1499, 0), ("n0", 0, 1499)}
+
+
+def test_long_rings_and_tails(spark):
+    ring = [("t", f"r{i:03d}", f"r{(i + 1) % 90:03d}") for i in range(90)]
+    tail = [("t", f"z{i}", f"z{i - 1}" if i else "r007") for i in range(60)]
+    got = H.rings(frame(spark, ring + tail)).collect()
+    assert len(got) == 150 and {r.cycle_id for r in got} == {"r000"} and sum(r.on_ring for r in got) == 90 and [r.span_id for r in got if r.back_edge] == ["r000"]
+
+
+def test_components(spark):
+    rows = [("t", "a", None), ("t", "b", "a"), ("t", "c", "b"), ("t", "d", "none"), ("t", "x", "y"), ("t", "y", "x"), ("t", "z", "y")]
+    got = {r.span_id: r.comp for r in H.components(H.links(frame(spark, rows))).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "x": "ring x", "y": "ring x", "z": "ring x"}

@@ -67,7 +67,6 @@ def surplus_copies(
     same order value count as one row.
     """
     rows = df.where(F.col(stream).isNotNull() & F.col(event_id).isNotNull() & F.col(order).isNotNull()).select(
-        F.xxhash64(F.col(stream), message_key(event_id)).alias("h"),
         F.col(stream).alias("k0"),
         message_key(event_id).alias("k1"),
         F.col(order).alias("id"),

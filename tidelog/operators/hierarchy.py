@@ -1,10 +1,11 @@
 """Parent-child links to full hierarchies with cycle detection (problem 3).
 
-Components that fit a task (``max_group`` nodes, a memory bound) are co-located
-and walked depth-first with node colours. Groups beyond it are resolved by
-pointer doubling over DataFrames: round k knows each node's 2^k-th ancestor, so
-log2(depth) joins find roots, depths, subtree sizes and the nodes that never
-reach a root. Both ways give the same rows.
+Nodes are co-located and walked depth-first with node colours: by group while a
+group fits a task (``max_group`` nodes, a memory bound), else by connected
+component, found by pointer jumping. Only a single component beyond the bound is
+resolved by pointer doubling over DataFrames: round k knows each node's 2^k-th
+ancestor, so log2(depth) joins find roots, depths, subtree sizes and the nodes
+that never reach a root. All ways give the same rows.
 """
 
 from __future__ import annotations
@@ -91,19 +92,19 @@ def _paths(ids: list[str], parents: list[str | None], depth: list[int]) -> list[
 
 
 def _small(nodes: DataFrame, with_path: bool) -> DataFrame:
-    """Co-located groups, walked group by group.
+    """Co-located groups or components (``comp``), walked one by one.
 
     ``mapInPandas`` over rows clustered and sorted by group walks many small
     traces per batch instead of paying one Python call for each.
     """
     schema = NODES + (", path string" if with_path else "")
 
-    def emit(t: list[str], s: list[str], p: list[str | None], out: list) -> None:
+    def emit(t: list[str], g: list[str], s: list[str], p: list[str | None], out: list) -> None:
         k = 0
         n = len(t)
         while k < n:
             e = k
-            while e < n and t[e] == t[k]:
+            while e < n and t[e] == t[k] and g[e] == g[k]:
                 e += 1
             ids, par = s[k:e], p[k:e]
             root, depth, size = walk(ids, par)
@@ -115,29 +116,31 @@ def _small(nodes: DataFrame, with_path: bool) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t: list[str] = []
+        g: list[str] = []
         s: list[str] = []
         p: list[str | None] = []
 
         def frame(end: int) -> pd.DataFrame:
             out: list = []
-            emit(t[:end], s[:end], p[:end], out)
-            del t[:end], s[:end], p[:end]
+            emit(t[:end], g[:end], s[:end], p[:end], out)
+            del t[:end], g[:end], s[:end], p[:end]
             names = [c.split()[0] for c in schema.split(", ")]
             return pd.DataFrame({c: [x for o in out for x in o[i]] for i, c in enumerate(names)})
 
         for b in batches:
             t += b["trace_id"].tolist()
+            g += b["comp"].tolist()
             s += b["span_id"].tolist()
             p += [x if isinstance(x, str) else None for x in b["parent"]]
             end = len(t)
-            while end and t[end - 1] == t[-1]:
+            while end and t[end - 1] == t[-1] and g[end - 1] == g[-1]:
                 end -= 1
             if end:
                 yield frame(end)
         if t:
             yield frame(len(t))
 
-    clustered = nodes.select("trace_id", "span_id", "parent").repartition("trace_id").sortWithinPartitions("trace_id", "span_id")
+    clustered = nodes.select("trace_id", F.coalesce("comp", F.lit("")).alias("comp"), "span_id", "parent").repartition("trace_id", "comp").sortWithinPartitions("trace_id", "comp", "span_id")
     return clustered.mapInPandas(run, schema)
 
 
@@ -193,6 +196,37 @@ def _large(nodes: DataFrame, with_path: bool) -> DataFrame:
     )
 
 
+def _climb(nodes: DataFrame) -> DataFrame:
+    """Pointer jumping to the end: ``up`` is each node's root, or a ring member
+    where it reaches none; ``low`` is the least id on the way there.
+
+    Every round doubles the steps; it takes log2 of the longest way or ring,
+    which no group exceeds. Where a climb never ends, 2^k steps from a ring
+    member cover the ring, so its ``low`` is the ring's least id.
+    """
+    have = nodes.select("trace_id", F.col("span_id").alias("parent"))
+    known = nodes.where("parent is not null").join(have, ["trace_id", "parent"], "left_semi").select("trace_id", "span_id", F.col("parent").alias("up"))
+    state = cut(nodes.select("trace_id", "span_id").join(known, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.coalesce("up", "span_id").alias("up"), F.least("span_id", F.coalesce("up", "span_id")).alias("low"), F.col("up").isNull().alias("done")))
+    longest = nodes.groupBy("trace_id").count().agg(F.max("count")).collect()[0][0] or 0
+    steps = 1
+    while steps < longest and not state.where("not done").isEmpty():
+        far = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+        go = state.where("not done").join(far, ["trace_id", "up"]).select("trace_id", "span_id", F.col("up2").alias("up"), F.least("low", "low2").alias("low"), F.col("done2").alias("done"))
+        after = cut(state.where("done").unionByName(go))
+        drop_cut(state)
+        state, steps = after, steps * 2
+    return state
+
+
+def components(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``comp``, the connected component: its root, or the least
+    id of the ring that all of its nodes climb to."""
+    end = _climb(nodes)
+    ring = end.where("not done").select("trace_id", F.col("span_id").alias("up"), F.col("low").alias("ring"))
+    named = end.select("trace_id", "span_id", "up", "done").join(ring, ["trace_id", "up"], "left").select("trace_id", "span_id", F.when(F.col("done"), F.col("up")).otherwise(F.concat(F.lit("ring "), "ring")).alias("comp"))
+    return nodes.join(named, ["trace_id", "span_id"])
+
+
 def hierarchy(df: DataFrame, *, trace: str = "trace_id", node: str = "span_id", parent: str = "parent_span_id", with_path: bool = False, max_group: int = MAX_GROUP) -> DataFrame:
     """Root, depth and number of descendants of every node, and its path.
 
@@ -203,11 +237,18 @@ def hierarchy(df: DataFrame, *, trace: str = "trace_id", node: str = "span_id",
     """
     nodes = links(df, trace, node, parent)
     big = nodes.groupBy("trace_id").count().where(F.col("count") > max_group).select("trace_id")
+    whole = nodes.withColumn("comp", F.lit(None).cast("string"))
     if big.isEmpty():
-        return _small(nodes, with_path)
+        return _small(whole, with_path)
     nodes = cut(nodes)
     sizes = cut(big)
-    return _small(nodes.join(sizes, "trace_id", "left_anti"), with_path).unionByName(_large(cut(nodes.join(sizes, "trace_id", "left_semi")), with_path))
+    parts = cut(components(nodes.join(sizes, "trace_id", "left_semi")))
+    huge = cut(parts.groupBy("trace_id", "comp").count().where(F.col("count") > max_group).select("trace_id", "comp"))
+    small = nodes.join(sizes, "trace_id", "left_anti").withColumn("comp", F.lit(None).cast("string")).unionByName(parts.join(huge, ["trace_id", "comp"], "left_anti").select("trace_id", "span_id", "parent", "comp"))
+    out = _small(small, with_path)
+    if huge.isEmpty():
+        return out
+    return out.unionByName(_large(cut(parts.join(huge, ["trace_id", "comp"], "left_semi").select("trace_id", "span_id", "parent")), with_path))
 
 
 def descendants(paths: DataFrame) -> DataFrame:
@@ -225,21 +266,21 @@ def descendants(paths: DataFrame) -> DataFrame:
 
 
 def rings(df: DataFrame, *, trace: str = "trace_id", node: str = "span_id", parent: str = "parent_span_id", max_group: int = MAX_GROUP) -> DataFrame:
-    """The nodes caught in rings: ``on_ring`` tells members from nodes below.
-
-    A member is a ring node that at least one ring node calls parent and that
-    survives pruning of leaves; pruning runs on the ring nodes only.
+    """The nodes caught in rings, one row each.
+
+    ``cycle_id``: the least id of the ring a node is on or below; ``on_ring``
+    tells members from nodes below; ``n_members`` of the ring; ``back_edge``:
+    the link of this member to its parent closes the ring, for a traversal that
+    starts at the least id. Members are what is reached after as many steps as
+    there are caught nodes; pointer jumping takes the logarithm of that many
+    rounds, over the caught nodes only.
     """
     h = hierarchy(df, trace=trace, node=node, parent=parent, max_group=max_group).where("span_depth = -1").select("trace_id", "span_id")
     caught = cut(h.join(links(df, trace, node, parent), ["trace_id", "span_id"]))
-    core = caught
-    n = core.count()
-    while n:
-        used = core.select("trace_id", F.col("parent").alias("span_id")).distinct()
-        core = cut(core.join(used, ["trace_id", "span_id"], "left_semi"))
-        m = core.count()
-        if m == n:
-            break
-        n = m
-    mark = core.select("trace_id", "span_id", F.lit(True).alias("m"))
-    return caught.join(mark, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.coalesce("m", F.lit(False)).alias("on_ring"))
+    end = _climb(caught)
+    member = end.groupBy("trace_id", F.col("up").alias("span_id")).agg(F.lit(True).alias("on_ring"))
+    ring = end.join(member, ["trace_id", "span_id"]).select("trace_id", F.col("span_id").alias("up"), F.col("low").alias("cycle_id"))
+    size = ring.groupBy("trace_id", "cycle_id").agg(F.count(F.lit(1)).alias("n_members"))
+    named = end.select("trace_id", "span_id", "up").join(ring, ["trace_id", "up"]).join(member, ["trace_id", "span_id"], "left").join(size, ["trace_id", "cycle_id"])
+    on = F.coalesce("on_ring", F.lit(False))
+    return named.select("trace_id", "span_id", on.alias("on_ring"), "cycle_id", "n_members", (on & (F.col("span_id") == F.col("cycle_id"))).alias("back_edge"))

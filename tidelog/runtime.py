@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Where it is unset (tests on
-    one machine) a local folder is used and remembered in the session.
+    ``spark.checkpoint.dir`` names it on a cluster. Where it is unset and the
+    session runs on one machine, as in tests, a local folder is used and
+    remembered; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidelog.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.tidelog.shared.dir", path)
     return path
@@ -40,6 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +62,19 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def drop_cuts() -> None:
+    """Delete all tables that :func:`cut` left behind in this process: call it
+    when the results that read them are written. Also runs at exit."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone; local folders go with it
+            if path.startswith("file://"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def micros(col) -> "F.Column":
     """Epoch microseconds of a timestamp, whatever the session's time zone."""
     return F.unix_micros(F.col(col) if isinstance(col, str) else col)
@@ -73,3 +94,6 @@ def ship(spark: SparkSession) -> None:
     made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tidelog-"), "tidelog"), "zip", root, "tidelog")
     spark.sparkContext.addPyFile(made)
     spark.conf.set("spark.tidelog.shipped", "true")
+
+
+atexit.register(drop_cuts)
