@@ -124,3 +124,27 @@ def test_cloudwatch_query_keeps_every_event_with_a_time(spark, tmp_path):
     e.write.parquet(str(tmp_path / "filtered_log_event.parquet"))
     got = {(r.seq, r.ts_us) for r in QUERIES["src_cloudwatch_events"](spark, str(tmp_path)).collect()}
     assert got == {(i, t * 1000) for i, _, t in rows if t is not None}
+
+
+def test_text_labels_that_look_like_json_stay(spark):
+    from tidelog.sources import remote
+
+    doc = '{"message": "m", "a": "[core]", "b": "{x}", "n": 5, "o": {"x": 1}, "l": [1], "t": true, "z": null}'
+    hits = spark.createDataFrame([(1, "i", doc), (2, "i", "broken {")], "hit_id bigint, _index string, _source string")
+    got = {r.seq: r.labels for r in remote.elastic_hits(hits, order="hit_id").collect()}
+    assert got == {1: {"_index": "i", "a": "[core]", "b": "{x}", "n": "5", "t": "true"}, 2: {"_index": "i"}}
+
+
+def test_plugins_of_a_folder_and_partial_aggregates(spark, log_rows, tmp_path):
+    from tidelog.plugins import Registry
+
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "plugin.py").write_text("def call(b):\n    return b.assign(line=b['line'].str.upper())\n")
+    (tmp_path / "n.py").write_text("import pandas as pd\ndef call(b):\n    return pd.DataFrame({'n': [len(b)]})\ndef combine(b):\n    return pd.DataFrame({'n': [b['n'].sum()]})\n")
+    (tmp_path / "n.toml").write_text("[plugin]\nname = 'n'\nversion = '1.2'\ntype = 'aggregate'\nschema = 'n bigint'\n")
+    (tmp_path / "bad.py").write_text("def (")
+    r = Registry()
+    assert r.load(str(tmp_path)) == ["bad"] and r.plugins["n"].version == "1.2" and r.plugins["up"].version == "0.0.0"
+    rows = log_rows([("a", {"s": "x"}), ("b", {"s": "x"}), ("c", {"s": "y"}), ("d", {})])
+    assert sorted(x.n for x in r.aggregate(rows, "n", "s").collect()) == [1, 1, 2]
+    assert {x.line for x in r.apply(rows).collect()} == set("ABCD")

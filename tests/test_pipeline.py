@@ -76,3 +76,18 @@ def test_filters_move_before_parsing():
     s = lang.parse('{} | json | json | a="b" |= "x" | line_format "y" |= "z"')[1]
     moved = compiler.push_filters(s)
     assert moved[0] == lang.LineFilter("x") and moved[-1] == lang.LineFilter("z") and moved.count(lang.Word("json")) == 1
+
+
+def test_regexes_cover_all_scripts(log_rows):
+    rows = log_rows(["größe 5", "size 5", "x=7", "日本 1"])
+    got = lambda q: [r.line for r in compiler.run(rows, q).orderBy("seq").collect()]
+    assert got(r"{} |~ `^\w+ \d$`") == ["größe 5", "size 5", "日本 1"]
+    assert got(r"{} |~ `^\p{L}+ `") == ["größe 5", "size 5", "日本 1"]
+    assert got(r"{} |~ `^[[:alpha:]]+=[[:digit:]]`") == ["x=7"]
+    assert got(r"{} |~ `(?i)GRÖSSE|GRÖßE`") == ["größe 5"]
+
+
+def test_groups_that_took_part_with_nothing_are_labels(log_rows):
+    rows = log_rows(["a=,b", "a=1,b", "c"])
+    got = {r.line: r.labels for r in compiler.run(rows, r"{} | regex `a=(?P<v>\d*),(?P<w>b)|(?P<z>c)`").collect()}
+    assert got == {"a=,b": {"v": "", "w": "b"}, "a=1,b": {"v": "1", "w": "b"}, "c": {"z": "c"}}

@@ -119,3 +119,26 @@ def test_traces(log_rows):
     fixed = one(traces.traces(rows, fixed=True))
     assert (fixed.n_spans, fixed.total_us, fixed.error_count, fixed.service_count) == (2, 9_000_000, 1, 2)
     assert traces.waterfall(rows).count() == 3
+
+
+def test_a_single_wrong_time_makes_no_billions(spark, log_rows):
+    import pytest
+
+    far = log_rows([("a", {}, 0), ("a", {}, 5), ("b", {}, 200_000_000)])
+    with pytest.raises(Exception, match="gap of more than"):
+        views.histogram(far, 1, last=None).collect()
+    assert views.histogram(far, 1).count() == 60 and views.histogram(far, 3_000_000, last=None).count() > 60
+    assert analytics.volume_anomalies(far, 1, 60, 3.0).count() >= 0
+
+
+def test_playground_ranges_are_bytes_of_groups_that_took_part(log_rows):
+    r = views.playground(log_rows(["xé k=v"]), r"(?P<k>k)=(v)|(z)").collect()[0]
+    assert [tuple(x) for x in r.ranges] == [("match", "k=v", 4, 7), ("k", "k", 4, 5), ("group_2", "v", 6, 7)] and r.start == 4
+
+
+def test_presets(log_rows):
+    from pyspark.sql import functions as F
+
+    rows = log_rows([("a", {}, 0), ("b", {}, 4000), ("c", {}, 7300)])
+    now = F.lit("2025-03-10 02:00:00").cast("timestamp")
+    assert [r.line for r in views.preset(rows, 60, now).collect()] == ["b"]

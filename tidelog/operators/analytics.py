@@ -100,11 +100,11 @@ def volume_anomalies(df: DataFrame, tick_s: int = 1, window: int = 60, z: float
     rows: they are counted first, then windowed.
     """
     w = tick_s * 1_000_000
-    got = df.where("ts is not null").groupBy(F.floor(F.unix_micros("ts") / w).alias("t")).agg(F.count(F.lit(1)).alias("c"))
-    spine = got.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("t"))
-    ticks = spine.join(got, "t", "left").select("t", F.coalesce("c", F.lit(0)).alias("actual"))
-    before = W.orderBy("t").rowsBetween(-window, -1)
-    m = ticks.withColumns({"k": F.count(F.lit(1)).over(before), "expected": F.avg("actual").over(before), "sd": F.stddev_pop("actual").over(before)}).where("k >= 2")
+    got = df.where("ts is not null").groupBy(F.floor(F.unix_micros("ts") / w).alias("t")).agg(F.count(F.lit(1)).alias("actual"))
+    # only ticks with rows can stand out; the empty ones before them count as 0 without being made
+    before = W.orderBy("t").rangeBetween(-window, -1)
+    some = got.withColumns({"k": F.least(F.col("t") - F.min("t").over(W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)), F.lit(window)), "s": F.coalesce(F.sum("actual").over(before), F.lit(0)), "ss": F.coalesce(F.sum(F.col("actual") * F.col("actual")).over(before), F.lit(0))}).where("k >= 2")
+    m = some.withColumns({"expected": F.col("s") / F.col("k"), "sd": F.sqrt((F.col("k") * F.col("ss") - F.col("s") * F.col("s")).cast("double")) / F.col("k")})
     score = F.when(F.col("sd") > 0, (F.col("actual") - F.col("expected")) / F.nullif(F.col("sd"), F.lit(0.0))).when((F.col("actual") > 0) & ((F.col("expected") == 0) | (F.col("actual") > 2 * F.col("expected"))), F.lit(float("inf")))
     return m.withColumn("z", score).where(F.col("z") > z).select(F.timestamp_micros(F.col("t") * w).alias("tick"), "actual", "expected", "z")
 

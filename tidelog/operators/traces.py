@@ -25,30 +25,30 @@ PARENT_JSON = ("parent_span_id", "parentSpanId", "parent_id", "parentId")
 WATERFALL = r"(?i)(?:duration|took|latency|elapsed)[=: ]+(\d+(?:\.\d+)?)\s*(ms|s)"
 
 
-def _member(name: str) -> Column:
-    """A non-empty string member of a JSON object line."""
-    v = F.try_variant_get(F.try_parse_json(F.col("_j")), f"$.{name}", "string")
-    return F.when(v != "", v)
-
-
-def _text(pattern: str) -> Column:
-    v = F.regexp_extract("line", pattern, 1)
-    return F.when(v != "", v)
-
-
 def with_ids(df: DataFrame, fixed: bool = False) -> DataFrame:
     """Add ``trace_id``, ``trace_kind``, ``span_id``, ``parent_span_id``.
 
     JSON members come first, of any form; then text patterns. By default the
     span pattern also hits inside ``parent_span_id=``; ``fixed`` prevents that.
+    The line is parsed once, beside the generated code, which stays whole.
     """
-    rows = df.withColumn("_j", F.when(F.ltrim("line").startswith("{"), F.trim("line")))
-    options = [F.when(_member(n).isNotNull(), F.struct(_member(n).alias("id"), F.lit(k).alias("kind"))) for n, k in JSON_IDS]
-    options += [F.when(_text(p).isNotNull(), F.struct(_text(p).alias("id"), F.lit(k).alias("kind"))) for p, k in TEXT_IDS]
-    found = F.coalesce(*options)
-    span = F.coalesce(_member("span_id"), _member("spanId"), _text(SPAN_TEXT_FIXED if fixed else SPAN_TEXT))
-    parent = F.coalesce(*[_member(n) for n in PARENT_JSON], _text(PARENT_TEXT))
-    return rows.withColumns({"_t": found, "span_id": span, "parent_span_id": parent}).withColumns({"trace_id": F.col("_t.id"), "trace_kind": F.col("_t.kind")}).drop("_t", "_j")
+
+    def read(s: Column) -> Column:
+        def member(name: str) -> Column:
+            return F.nullif(F.try_variant_get(s["v"], f"$.{name}", "string"), F.lit(""))
+
+        def text(pattern: str) -> Column:
+            return F.nullif(F.regexp_extract(s["line"], pattern, 1), F.lit(""))
+
+        options = [(member(n), k) for n, k in JSON_IDS] + [(text(p), k) for p, k in TEXT_IDS]
+        found = F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("id"), F.lit(k).alias("kind"))) for v, k in options])
+        span = F.coalesce(member("span_id"), member("spanId"), text(SPAN_TEXT_FIXED if fixed else SPAN_TEXT))
+        parent = F.coalesce(*[member(n) for n in PARENT_JSON], text(PARENT_TEXT))
+        return F.struct(found.alias("t"), span.alias("s"), parent.alias("p"))
+
+    v = F.try_parse_json(F.when(F.ltrim("line").startswith("{"), F.trim("line")))
+    rows = df.withColumn("_x", F.transform(F.array(F.struct(F.col("line"), v.alias("v"))), read)[0])
+    return rows.withColumns({"trace_id": F.col("_x.t.id"), "trace_kind": F.col("_x.t.kind"), "span_id": F.col("_x.s"), "parent_span_id": F.col("_x.p")}).drop("_x")
 
 
 def spans(df: DataFrame, fixed: bool = False) -> DataFrame:

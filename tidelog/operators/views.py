@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +23,18 @@ NORMAL = (
 CONTINUATION = r'(?s)^(?:\t|  )|^\s*(?:(?i:at )|Caused by:|--- |File "|goroutine |[|+]|0x|#\s*[0-9]|\.\.\. (?:.* )?more$)'
 TIME_PRESETS_MIN = (5, 15, 30, 60, 180, 360, 720, 1440, 2880, 10080)
 DEFAULT_PRESET_MIN = 60
+#: Empty buckets between two that have rows; a single wrong time would else make billions.
+MAX_GAP = 1_000_000
+
+
+def preset(df: DataFrame, minutes: int = DEFAULT_PRESET_MIN, now: Column | None = None) -> DataFrame:
+    """The rows of one of the preset time ranges, which ends at ``now`` (default:
+    the time of the query). Rows without a time are in none."""
+    if minutes not in TIME_PRESETS_MIN:
+        raise ValueError(f"presets are {TIME_PRESETS_MIN} minutes")
+    end = F.current_timestamp() if now is None else now
+    us = F.unix_micros("ts") - F.unix_micros(end)
+    return df.where((us >= -minutes * 60_000_000) & (us <= 0))
 
 
 def search_pattern(term: str) -> str:
@@ -101,15 +114,22 @@ def top_sources(df: DataFrame, n: int = 5) -> DataFrame:
 
 def histogram(df: DataFrame, every_s: int, last: int | None = 60) -> DataFrame:
     """Zero-filled buckets of ``every_s`` seconds: total, errors, warnings; the
-    ``last`` ones, or all. Levels are those of the label ``level`` alone."""
+    ``last`` ones, or all. Levels are those of the label ``level`` alone. More
+    than ``MAX_GAP`` empty buckets in a row are an error."""
     w = every_s * 1_000_000
     b = F.floor(F.unix_micros("ts") / w)
     level = F.lower(label("level"))
     got = df.where("ts is not null").groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("total"), F.count(F.when(is_error_stats(level), 1)).alias("errors"), F.count(F.when(level.isin("warn", "warning"), 1)).alias("warnings"))
-    lo = F.min("b") if last is None else F.greatest(F.min("b"), F.max("b") - (last - 1))
-    spine = got.agg(lo.alias("lo"), F.max("b").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("b"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return spine.join(got, "b", "left").select(F.timestamp_micros(F.col("b") * w).alias("bucket"), zero("total"), zero("errors"), zero("warnings"))
+    zero = lambda c: F.coalesce(F.when(F.col("k") == 0, F.col(c)), F.lit(0)).alias(c)
+    if last is not None:
+        spine = got.agg(F.greatest(F.min("b"), F.max("b") - (last - 1)).alias("lo"), F.max("b").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("b"))
+        each = spine.join(got, "b", "left").withColumn("k", F.lit(0))
+    else:
+        # one row per bucket that has rows makes the empty ones up to the next
+        gaps = got.withColumn("g", F.coalesce(F.lead("b").over(W.orderBy("b")), F.col("b") + 1) - F.col("b"))
+        held = F.when(F.col("g") > MAX_GAP, F.raise_error(F.lit(f"a gap of more than {MAX_GAP} buckets; take wider ones or cut the times off"))).otherwise(F.col("g"))
+        each = gaps.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), held - 1)))
+    return each.select(F.timestamp_micros((F.col("b") + F.col("k")) * w).alias("bucket"), zero("total"), zero("errors"), zero("warnings"))
 
 
 def histogram_threshold(buckets: DataFrame) -> DataFrame:
@@ -136,18 +156,34 @@ def diff_queries(df: DataFrame, left: str, right: str) -> DataFrame:
     return diff(df.where(F.contains(F.col("line"), F.lit(left))), df.where(F.contains(F.col("line"), F.lit(right))))
 
 
+def _ranges(line: str, pattern: str, names: list[str]) -> list[tuple[str, str, int, int]] | None:
+    import regex
+
+    m = regex.search(pattern, line)
+    if m is None:
+        return None
+    at = lambda k: len(line[:k].encode())
+    return [(n, m[i], at(m.start(i)), at(m.end(i))) for i, n in enumerate(["match", *names]) if m[i] is not None]
+
+
 def playground(df: DataFrame, pattern: str, limit: int = 500) -> DataFrame:
-    """The first matching lines with the match and its groups by name or number."""
+    """The first matching lines with the match, its groups by name or number,
+    and ``ranges``: name, text, start and end in bytes of the match and of each
+    group that took part."""
     r = rx.to_java(pattern)
     if r is None:
         raise ValueError(f"invalid pattern: {pattern}")
-    import re
-
     names = {i: n for n, i in r.names}
-    groups = [F.regexp_extract("line", r.java, i).alias(names.get(i, f"group_{i}")) for i in range(1, re.compile(r.java).groups + 1)]
+    called = [names.get(i, f"group_{i}") for i in range(1, r.groups + 1)]
     hits = df.where(F.col("line").rlike(r.java)).orderBy("seq").limit(limit)
-    hits = hits.withColumn("m", F.regexp_substr("line", F.lit(r.java)))
-    return hits.select("seq", "line", F.col("m").alias("match"), F.expr("instr(line, m)").alias("start"), *groups)
+    plain = r.java.removeprefix("(?U)")
+
+    @F.pandas_udf("array<struct<name:string,text:string,start:int,end:int>>")
+    def ranges(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: _ranges(x, plain, called))
+
+    hits = hits.withColumn("m", F.regexp_substr("line", F.lit(r.java))).withColumn("ranges", ranges("line"))
+    return hits.select("seq", "line", F.col("m").alias("match"), F.get("ranges", F.lit(0))["start"].alias("start"), "ranges", *[F.regexp_extract("line", r.java, i + 1).alias(n) for i, n in enumerate(called)])
 
 
 def columns_of(df: DataFrame) -> DataFrame:

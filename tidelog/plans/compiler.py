@@ -46,17 +46,24 @@ def select_streams(df: DataFrame, selector: str) -> DataFrame:
 
 
 def regex_stage(df: DataFrame, pattern: str) -> DataFrame:
-    """Named groups of the first match become labels, if they took part in it.
-    An invalid regex passes rows through."""
+    """Named groups of the first match become labels, if they took part in it,
+    also with an empty text. An invalid regex passes rows through."""
     r = rx.to_java(pattern)
     if r is None or not r.names:
         return df
     hit = F.col("line").rlike(r.java)
-    entries = F.array(*[F.struct(F.lit(n).alias("key"), F.regexp_extract("line", r.java, i).alias("value")) for n, i in r.names])
-    new = F.map_from_entries(F.filter(entries, lambda e: e["value"] != ""))
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), F.regexp_extract("line", r.java, i).alias("value"), took_part(r, i).alias("took")) for n, i in r.names])
+    new = F.map_from_entries(F.transform(F.filter(entries, lambda e: e["took"]), lambda e: F.struct(e["key"], e["value"])))
     return df.withColumn("labels", F.when(hit, merge_labels(F.col("labels"), new)).otherwise(F.col("labels")))
 
 
+def took_part(r: rx.Rx, group: int) -> Column:
+    """Whether a group took part in the first match. One that is empty did if a
+    back-reference to it, put behind the match, finds nothing to match; it fails
+    for a group that was passed over."""
+    return (F.regexp_extract("line", r.java, group) != "") | F.col("line").rlike(f"^(?s:(?!{r.bare}).)*+(?>{r.java})(?:\\{group})")
+
+
 def line_format(df: DataFrame, template: str) -> DataFrame:
     """``{{.k}}`` and then ``{{ .k }}`` replaced by labels in key order."""
     entries = F.array_sort(F.map_entries("labels"))

@@ -62,7 +62,8 @@ def elastic_hits(hits: DataFrame, source: str = "_source", index: str = "_index"
     ts = F.coalesce(F.when(there("@timestamp"), _es_time(text("@timestamp"))).otherwise(_es_time(text("timestamp"))), F.current_timestamp())
     first = F.when(there("message"), text("message")).when(there("msg"), text("msg")).when(there("log"), text("log"))
     line = F.coalesce(first, F.col(source))
-    flat = F.map_filter("_m", lambda k, v: v.isNotNull() & ~k.isin("message", "msg", "log") & ~F.substring(v, 1, 1).isin("{", "["))
+    kinds = F.transform_values(F.col("_v").try_cast("map<string,variant>"), lambda k, v: F.schema_of_variant(v))
+    flat = F.map_filter("_m", lambda k, v: v.isNotNull() & ~k.isin("message", "msg", "log") & ~F.coalesce(kinds[k].rlike("^(OBJECT|ARRAY|VOID)"), F.lit(False)))
     labels = F.map_concat(F.map_filter(F.coalesce(flat, F.create_map().cast("map<string,string>")), lambda k, v: k != "_index"), F.create_map(F.lit("_index"), F.coalesce(index, F.lit(""))))
     out = rows.select(*([F.col(order).alias("_o")] if order else []), ts.alias("ts"), labels.alias("labels"), line.alias("line"), F.col(source).alias("raw"))
     if order:

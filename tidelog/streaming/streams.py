@@ -27,10 +27,12 @@ def read_stream(spark: SparkSession, path: str, schema, **options) -> DataFrame:
 def once_each(events: DataFrame, late: str = "24 hours") -> DataFrame:
     """Messages delivered more than once, within the watermark: the first copy
     of (stream, identifier) passes. Rows without either pass as they are
-    through a key of their own."""
+    through a key of their own. Rows without an ingestion time have no place on
+    the clock: they go around the watermark and all pass."""
     lone = F.col("log_stream_name").isNull() | F.col("event_id").isNull()
-    keyed = events.withColumns({"_k": F.when(lone, F.concat(F.lit("#"), F.col("delivery_id").cast("string"))).otherwise(message_key()), "_t": F.coalesce(F.timestamp_millis("ingestion_time"), F.lit(0).cast("timestamp"))})
-    return keyed.withWatermark("_t", late).dropDuplicatesWithinWatermark(["log_stream_name", "_k"]).drop("_k", "_t")
+    dated = events.where("ingestion_time is not null").withColumns({"_k": F.when(lone, F.concat(F.lit("#"), F.col("delivery_id").cast("string"))).otherwise(message_key()), "_t": F.timestamp_millis("ingestion_time")})
+    once = dated.withWatermark("_t", late).dropDuplicatesWithinWatermark(["log_stream_name", "_k"]).drop("_k", "_t")
+    return once.unionByName(events.where("ingestion_time is null"))
 
 
 def late_partials(events: DataFrame, sink: str) -> Callable[[DataFrame, int], None]:
