@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import structured
 from tidelog.model import EVENT_SQL, event_log, label, labels_text
-from tidelog.operators import alerts, analytics, traces, views
+from tidelog.operators import alerts, analytics, lateness, traces, views
 from tidelog.plans import compiler
 from tidelog.runtime import table
 from tidelog.sources import registry, remote, sinks
@@ -47,10 +47,6 @@ def pip_json(spark, d):
     return compiler.run(event_log(spark, d, "json"), "{} | json").select("seq", label("k").alias("k"))
 
 
-@query(ev("SELECT seq, json_extract_string(line_json, '$.k') AS k FROM ev"))
-def pip_unpack(spark, d):
-    return compiler.run(event_log(spark, d, "json"), "{} | unpack").select("seq", label("k").alias("k"))
-
 
 @query(ev("SELECT seq, lvl AS l, service AS svc, CAST(seq AS VARCHAR) AS n FROM ev"))
 def pip_logfmt(spark, d):
@@ -119,10 +115,6 @@ def str_structured(spark, d):
     return event_log(spark, d, "json").withColumn("s", s).where("s is not null").select("seq", F.col("s.kind").alias("kind"), labels_text(F.col("s.fields")).alias("fields"))
 
 
-@query(ev("SELECT DISTINCT 'k' AS name, CAST(2 AS INTEGER) AS rank FROM ev"))
-def str_columns(spark, d):
-    return views.columns_of(event_log(spark, d, "json"))
-
 
 @query(ev("SELECT seq, coalesce(json_extract_string(line_json, '$.k'), '-') AS k, '-' AS missing FROM ev"))
 def str_tabular(spark, d):
@@ -159,12 +151,6 @@ def vw_dedup_fuzzy(spark, d):
     return _ntz(views.dedup(event_log(spark, d), fuzzy=True).drop("line"), "first_ts", "last_ts")
 
 
-@query()
-def vw_multiline(spark, d):
-    """Grouping of log_entry's lines by looks and levels, in arrival order."""
-    g = views.multiline(table(spark, d, "log_entry"))
-    return g.select("gid", "seq", "line", F.size("continuation_lines").alias("n"))
-
 
 @query(ev("SELECT lvl AS level, count(*) AS n FROM ev GROUP BY 1"))
 def vw_stats_levels(spark, d):
@@ -209,9 +195,10 @@ def vw_diff(spark, d):
     return _ntz(views.diff_queries(event_log(spark, d), "click", "/u/1").select("ts", "side", "left_seq", "right_seq"), "ts")
 
 
-@query(ev(r"SELECT seq, line_text AS line, regexp_extract(line_text, '/u/(\d+) took (\d+)', 0) AS match, strpos(line_text, regexp_extract(line_text, '/u/(\d+) took (\d+)', 0)) AS start, regexp_extract(line_text, '/u/(\d+) took (\d+)', 1) AS user_no, regexp_extract(line_text, '/u/(\d+) took (\d+)', 2) AS group_2 FROM ev WHERE regexp_matches(line_text, '/u/(\d+) took (\d+)') ORDER BY seq LIMIT 500"))
+@query(ev(r"SELECT seq, line_text AS line, regexp_extract(line_text, '/u/(\d+) took (\d+)', 0) AS match, strpos(line_text, '/u/') - 1 AS start, 'match ' || (strpos(line_text, '/u/') - 1) || ' ' || (strpos(line_text, '/u/') - 1 + length(regexp_extract(line_text, '/u/(\d+) took (\d+)', 0))) || ',user_no ' || (strpos(line_text, '/u/') + 2) || ' ' || (strpos(line_text, ' took ') - 1) || ',group_2 ' || (strpos(line_text, ' took ') + 5) || ' ' || (strpos(line_text, '/u/') - 1 + length(regexp_extract(line_text, '/u/(\d+) took (\d+)', 0))) AS ranges, regexp_extract(line_text, '/u/(\d+) took (\d+)', 1) AS user_no, regexp_extract(line_text, '/u/(\d+) took (\d+)', 2) AS group_2 FROM ev WHERE regexp_matches(line_text, '/u/(\d+) took (\d+)') ORDER BY seq LIMIT 500"))
 def vw_playground(spark, d):
-    return views.playground(event_log(spark, d), r"/u/(?P<user_no>\d+) took (\d+)").withColumn("start", F.col("start").cast("bigint"))
+    p = views.playground(event_log(spark, d), r"/u/(?P<user_no>\d+) took (\d+)")
+    return p.withColumn("start", F.col("start").cast("bigint")).withColumn("ranges", F.array_join(F.transform("ranges", lambda x: F.concat_ws(" ", x["name"], x["start"], x["end"])), ","))
 
 
 @query(ev("SELECT seq, line_text AS line FROM ev ORDER BY seq DESC LIMIT 1000"))
@@ -378,28 +365,17 @@ def src_merge(spark, d):
     return both.select(label("__source__").alias("src"), "seq")
 
 
-@query(ev("SELECT unnest(['level', 'service']) AS name FROM (SELECT 1)"))
-def src_labels(spark, d):
-    return registry.label_names(event_log(spark, d))
-
 
 @query(ev("SELECT service AS value, count(*) AS n FROM ev GROUP BY 1"))
 def src_label_values(spark, d):
     return registry.label_values(event_log(spark, d), "service", 100)
 
 
-@query()
-def src_elastic_hits(spark, d):
-    """es_hit as log rows."""
-    r = remote.elastic_hits(table(spark, d, "es_hit"), order="hit_id")
-    return r.select("seq", labels_text(F.col("labels")).alias("labels"), "line")
-
 
-@query("SELECT delivery_id AS seq, epoch_us(make_timestamp(event_timestamp * 1000)) AS ts_us, 'log_group=g;log_stream=' || coalesce(log_stream_name, '') AS labels, coalesce(message, '') AS line FROM filtered_log_event WHERE event_timestamp IS NOT NULL AND event_timestamp < 100000000000000")
+@query("SELECT delivery_id AS seq, CASE WHEN abs(event_timestamp) < 100000000000 THEN event_timestamp * 1000000 WHEN abs(event_timestamp) >= 100000000000000 THEN (event_timestamp // 1000) * 1000 ELSE event_timestamp * 1000 END AS ts_us, 'log_group=g;log_stream=' || coalesce(log_stream_name, '') AS labels, coalesce(message, '') AS line FROM filtered_log_event WHERE event_timestamp IS NOT NULL")
 def src_cloudwatch_events(spark, d):
-    """All events with a time, which is read as ms as the reference reads it. The
-    SQL leaves out times from 1e14 on (written in µs); the query has them too."""
-    e = table(spark, d, "filtered_log_event")
+    """All events with a time; some agents write s or µs, which are brought to ms."""
+    e = table(spark, d, "filtered_log_event").withColumn("event_timestamp", lateness.to_millis("event_timestamp"))
     return remote.cloudwatch_events(e, "g", order="delivery_id").select("seq", F.unix_micros("ts").alias("ts_us"), labels_text(F.col("labels")).alias("labels"), "line")
 
 
