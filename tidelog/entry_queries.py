@@ -48,18 +48,19 @@ def log_unpack(spark, d):
     return compiler.run(log(spark, d), "{} | unpack").select("seq", label("log.level").alias("log_level"), label("log.logger").alias("log_logger"), label("message").alias("message"))
 
 
-@query(r"SELECT seq, list_extract(regexp_extract_all(line, '(?:^|\s)kept=(\d+)', 1), -1) AS kept, list_extract(regexp_extract_all(line, '(?:^|\s)dropped=(\d+)', 1), -1) AS dropped FROM log_entry WHERE NOT contains(line, '="')")
+@query(r"""SELECT seq, list_extract(regexp_extract_all(bare, '(?:^|\s)kept=(\d+)', 1), -1) AS kept, list_extract(regexp_extract_all(bare, '(?:^|\s)dropped=(\d+)', 1), -1) AS dropped FROM (SELECT seq, regexp_replace(line, '="(?:\\.|[^"\\])*"?', '=', 'g') AS bare FROM log_entry)""")
 def log_logfmt(spark, d):
-    """Pairs inside any line; quoted values hide what they hold, so lines with them have their own query."""
-    rows = log(spark, d).where(~F.contains(F.col("line"), F.lit('="')))
-    return compiler.run(rows, "{} | logfmt").select("seq", label("kept").alias("kept"), label("dropped").alias("dropped"))
+    """Pairs inside any line; quoted values hide what they hold."""
+    return compiler.run(log(spark, d), "{} | logfmt").select("seq", label("kept").alias("kept"), label("dropped").alias("dropped"))
 
 
-@query(r"""SELECT seq, regexp_extract(line, '^(?:[^"]|"[^"]*")*?\bmsg="([^"]*)"', 1) AS msg FROM log_entry WHERE regexp_matches(line, '^(ts|severity|level)=[^\s"]+ [^\s"=]+="?[^\s"]+"? [^\s"=]+="[^"\\]*"') OR regexp_matches(line, '^(ts|severity|level)=\S+ \S+=\S+ msg="[^"\\]*"')""")
+KEYED = r'''^(ts|severity|level)=[^\s"]+ [^\s"=]+="?[^\s"]+"? [^\s"=]+="[^"\\]*"|^(ts|severity|level)=\S+ \S+=\S+ msg="[^"\\]*"'''
+
+
+@query(rf"""SELECT seq, CASE WHEN regexp_matches(line, '{KEYED}') THEN regexp_extract(line, '^(?:[^"]|"[^"]*")*?\bmsg="([^"]*)"', 1) END AS msg FROM log_entry""")
 def log_logfmt_quoted(spark, d):
-    """Quoted values of key-value lines."""
-    keyed = F.col("line").rlike(r'^(ts|severity|level)=[^\s"]+ [^\s"=]+="?[^\s"]+"? [^\s"=]+="[^"\\]*"') | F.col("line").rlike(r'^(ts|severity|level)=\S+ \S+=\S+ msg="[^"\\]*"')
-    return compiler.run(log(spark, d).where(keyed), "{} | logfmt").select("seq", label("msg").alias("msg"))
+    """The quoted message of lines that are written as key-value pairs."""
+    return compiler.run(log(spark, d), "{} | logfmt").select("seq", F.when(F.col("line").rlike(KEYED), label("msg")).alias("msg"))
 
 
 @query(r"""SELECT seq, nullif(regexp_extract(line, '\[(\w+\.\w+)\] ([a-z]+)?', 1), '') AS logger, CASE WHEN regexp_matches(line, '\[(\w+\.\w+)\] ') THEN nullif(regexp_extract(line, '\[(\w+\.\w+)\] ([a-z]+)?', 2), '') END AS word FROM log_entry""")
