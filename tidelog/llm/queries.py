@@ -42,6 +42,11 @@ def p4_similar(spark: SparkSession, d: str) -> DataFrame:
     return runs.similar_runs(table(spark, d, "log_entry"), table(spark, d, "dedup_group"))
 
 
+def p4_relay(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of dedup_group alone, with their times."""
+    return runs.collapse(runs.relay_events(table(spark, d, "dedup_group"))).where("event_count > 1").select("stream", "first_id", "last_id", "event_count", "first_us", "last_us")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -106,7 +111,7 @@ def p10_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p4_runs, p4_similar, p8_found, p8_near, p9_mix, p9_shares, p9_goals, p9_tempered, p10_found, p10_composition, p10_rules)}
+    return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p4_runs, p4_similar, p4_relay, p8_found, p8_near, p9_mix, p9_shares, p9_goals, p9_tempered, p10_found, p10_composition, p10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -123,6 +128,12 @@ def oracle_sql() -> dict[str, str]:
  g AS (SELECT column_name, group_name, service, period, level, list_sort(list(v)) AS vs, count(*) AS n FROM everything WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2, 3, 4, 5)
 SELECT column_name, group_name, service, CAST(epoch_us(period) AS VARCHAR) AS period_us, level, quantile, n, TRUE AS within_bound, CASE WHEN n <= 100 THEN vs[greatest(1, ceil(quantile * n - 1e-9)::BIGINT)] END AS small_estimate
 FROM g, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (0.999::DOUBLE)) AS q(quantile)""",
+        "p4_relay": rf"""WITH a AS (SELECT coalesce(stream_name, '') AS stream, group_id, coalesce(event_count, 1) AS n, coalesce(epoch_us(coalesce(first_ts, last_ts)), 0) AS t0, coalesce(epoch_us(coalesce(last_ts, first_ts)), 0) AS t1,
+    lower(rtrim(regexp_replace(coalesce(line, ''), '\x1b\[[0-9;]*[A-Za-z]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS c FROM dedup_group),
+ b AS (SELECT * REPLACE (regexp_replace(regexp_replace(c, '{runs.TIMES}', '#', 'g'), '(^|[^\w])[+-]?(?:[a-z_][a-z_.@-]*)?\d[\w.:+@-]*%?', '\1#', 'g') AS c) FROM a),
+ k AS (SELECT * REPLACE (trim(regexp_replace(regexp_replace(regexp_replace(c, '#(?:,#)+', '#', 'g'), '{runs.UNITS}', '#', 'g'), '\s\s+|[\t\r\n]', ' ', 'g'), ' ') AS c) FROM b),
+ g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY group_id) AS run FROM (SELECT *, coalesce(c = lag(c) OVER (PARTITION BY stream ORDER BY group_id), FALSE) AS same FROM k))
+SELECT stream, min(group_id) AS first_id, max(group_id) AS last_id, CAST(sum(n) AS BIGINT) AS event_count, min(t0) AS first_us, max(t1) AS last_us FROM g GROUP BY stream, run HAVING sum(n) > 1""",
         "p8_found": r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS ws FROM eval_item),
  g AS (SELECT DISTINCT item_id, array_to_string(ws[i:i+12], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
  d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),

@@ -35,11 +35,15 @@ MAX_WORDS = 3
 #: Words of a sentence that make one transaction; a longer sentence makes several.
 PIECE = 10
 NONE = "none"
+#: Between sentences, on their way to Python.
+MARK = "\x01"
 SHARE = 0.25
 #: Every so many-th labelled document is kept out of the mining and calibrates the evidence.
 HELD_OUT = 4
 BINS = 20
 MEMO = 200_000
+#: Up to so many words the JVM looks them up; beyond, a plan that holds them all would be slower than Python.
+MAX_LITERALS = 10_000
 
 
 @dataclass
@@ -128,20 +132,25 @@ def calibrated(counts: dict[tuple[int, int], tuple[int, int]], weight: float = 1
 
 
 def prose(text: Column) -> Column:
-    """The sentences of a text, wrapped lines joined."""
-    return F.split(F.regexp_replace(text, WRAPPED, " "), SPLIT)
+    """The sentences of a text, wrapped lines joined, in one string with a mark between them."""
+    return F.regexp_replace(F.regexp_replace(F.translate(text, MARK, " "), WRAPPED, " "), SPLIT, MARK)
+
+
+def sentences(marked: str) -> list[list[str]]:
+    """The words of each sentence of a text that :func:`prose` marked."""
+    return [TOKEN.findall(x) for x in marked.lower().split(MARK)]
 
 
 def classed_sentences(docs: DataFrame, keep: str) -> DataFrame:
-    """``words`` (distinct, in order of first use) of each sentence, with its document's ``keep``."""
+    """``words`` (distinct, in order of first use, as one string) of each sentence, with its document's ``keep``."""
     kind = dict(docs.dtypes)[keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(c, ws) for c, t in zip(b["c"], b["t"]) for x in t if (ws := list(dict.fromkeys(TOKEN.findall(x.lower()))))]
+            rows = [(c, " ".join(dict.fromkeys(ws))) for c, t in zip(b["c"], b["t"]) for ws in sentences(t) if ws]
             yield pd.DataFrame(rows, columns=["c", "words"])
 
-    return docs.select(F.col(keep).alias("c"), prose(F.col("text")).alias("t")).mapInPandas(run, f"c {kind}, words array<string>")
+    return docs.select(F.col(keep).alias("c"), prose(F.col("text")).alias("t")).mapInPandas(run, f"c {kind}, words string")
 
 
 def mine_rules(classed: DataFrame, classes: list[str], *, min_support: float = 0.0001, min_count: int = 4, min_confidence: float = 0.35) -> Rules:
@@ -156,7 +165,7 @@ def mine_rules(classed: DataFrame, classes: list[str], *, min_support: float = 0
     every class about the same share (within 0.05). A set that surely tells no
     class though its words do is kept: it blocks them where it matches.
     """
-    n_wc = cut(classed.select("c", F.explode("words").alias("w")).groupBy("w", "c").agg(F.count(F.lit(1)).alias("k")))
+    n_wc = cut(classed.select("c", F.explode(F.split("words", " ")).alias("w")).groupBy("w", "c").agg(F.count(F.lit(1)).alias("k")))
     n_w = n_wc.groupBy("w").agg(F.sum("k").alias("n"), F.max(F.when(F.col("c") != NONE, F.col("k"))).alias("k")).where(F.col("n") >= min_count)
     p = F.col("k") / F.col("n")
     low = (p + 0.5 / F.col("n") - F.sqrt((p * (1 - p) + 0.25 / F.col("n")) / F.col("n"))) / (1 + 1 / F.col("n"))
@@ -168,12 +177,10 @@ def mine_rules(classed: DataFrame, classes: list[str], *, min_support: float = 0
         return Rules(classes)
     vocabulary = frozenset(words)
 
-    def transactions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            known = ([w for w in ws if w in vocabulary] for ws in b["words"])
-            yield pd.DataFrame([([*k[i : i + PIECE], "=" + c],) for c, k in zip(b["c"], known) for i in range(0, len(k), PIECE)], columns=["items"])
-
-    items = cut(classed.mapInPandas(transactions, "items array<string>"))
+    known = F.filter(F.split("words", " "), lambda w: w.isin(words)) if len(words) <= MAX_LITERALS else _known(vocabulary)(F.col("words"))
+    held = classed.select("c", known.alias("k")).where(F.size("k") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("k") - 1) / PIECE).cast("int"))
+    items = cut(held.select("c", "k", F.explode(starts).alias("i")).select(F.concat(F.slice("k", F.col("i") * PIECE + 1, F.lit(PIECE)), F.array(F.concat(F.lit("="), "c"))).alias("items")))
     support = max(min_support, min_count / max(items.count(), 1))
     freq = FPGrowth(itemsCol="items", minSupport=min(1.0, support)).fit(items).freqItemsets
     plain = F.filter("items", lambda x: ~x.startswith("="))
@@ -203,6 +210,14 @@ def mine_rules(classed: DataFrame, classes: list[str], *, min_support: float = 0
     return Rules(classes, pruned, frozenset(w for k in pruned for w in k))
 
 
+def _known(vocabulary: frozenset[str]):
+    @F.pandas_udf("array<string>")
+    def keep(words: pd.Series) -> pd.Series:
+        return words.map(lambda ws: [w for w in ws.split(" ") if w in vocabulary])
+
+    return keep
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", subject: str = "subject", rounds: int = 2) -> Rules:
     """Rules from hand labels, at most ``MAX_LABELLED`` documents of them; one
     in ``HELD_OUT`` takes no part in the mining and calibrates the result.
@@ -239,7 +254,7 @@ def _curve(held_out: DataFrame, rules: Rules) -> list[list[float]]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen = [(c, *rules.evidence(ws)) for c, ws in zip(b["c"], b["words"])]
+            seen = [(c, *rules.evidence(ws.split(" "))) for c, ws in zip(b["c"], b["words"])]
             yield pd.DataFrame([(min(n, 2), bin_of(raw), rules.classes[k] == c) for c, k, raw, n in seen if k >= 0], columns=["n", "bin", "good"])
 
     got = classed_sentences(held_out, "c").mapInPandas(run, "n int, bin int, good boolean").groupBy("n", "bin").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("good"), 1)).alias("right"))
@@ -254,15 +269,15 @@ def _spread(docs: DataFrame, rules: Rules) -> DataFrame:
         for b in batches:
             rows = []
             for t in b["t"]:
-                words = [list(dict.fromkeys(TOKEN.findall(x.lower()))) for x in t]
+                words = sentences(t)
                 n = _topical(words, rules)
                 best = max(n, key=n.__getitem__, default=-1)
                 total = sum(n.values())
                 if total >= 2 and n[best] > (1 - SHARE) * total:
-                    rows += [(rules.classes[best], ws) for ws in words if ws]
+                    rows += [(rules.classes[best], " ".join(dict.fromkeys(ws))) for ws in words if ws]
             yield pd.DataFrame(rows, columns=["c", "words"])
 
-    return docs.select(prose(F.col("text")).alias("t")).mapInPandas(run, "c string, words array<string>")
+    return docs.select(prose(F.col("text")).alias("t")).mapInPandas(run, "c string, words string")
 
 
 def _topical(sentences: Iterable[Iterable[str]], rules: Rules) -> dict[int, int]:
@@ -283,7 +298,7 @@ def sentence_counts(docs: DataFrame, rules: Rules, *, doc_id: str = "doc_id", te
         for b in batches:
             rows = []
             for d, t in zip(b["d"], b["t"]):
-                n = _topical((TOKEN.findall(x.lower()) for x in t), rules)
+                n = _topical(sentences(t), rules)
                 total = sum(n.values())
                 rows += [(d, rules.classes[k], v, total) for k, v in n.items()]
             yield pd.DataFrame(rows, columns=cols)
