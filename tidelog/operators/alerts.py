@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import smtplib
+import subprocess
 import tomllib
-from collections.abc import Iterator
+import urllib.request
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from email.message import EmailMessage
 from functools import reduce
 
 import pandas as pd
@@ -33,6 +38,8 @@ class Rule:
     actions: tuple[str, ...] = ()
     cooldown_seconds: int | None = None
     labels: tuple[tuple[str, str], ...] = ()
+    #: The actions as they are configured, as JSON texts.
+    details: tuple[str, ...] = ()
 
 
 @dataclass
@@ -53,7 +60,7 @@ def load_config(text: str) -> Config:
             raise ValueError(f"alert rule {r.get('name')!r} needs a condition and actions")
         if c.get("type") not in ("pattern_match", "rate_threshold", "level_threshold"):
             raise ValueError(f"alert rule {r.get('name')!r}: unknown condition {c.get('type')!r}")
-        rules.append(Rule(r["name"], c["type"], c.get("pattern", ""), c.get("count", 0), c.get("window_seconds", 0), c.get("level", ""), tuple(x if isinstance(x, str) else x.get("type", "") for x in r["actions"]), r.get("cooldown_seconds"), tuple(sorted(r.get("labels", {}).items()))))
+        rules.append(Rule(r["name"], c["type"], c.get("pattern", ""), c.get("count", 0), c.get("window_seconds", 0), c.get("level", ""), tuple(x if isinstance(x, str) else x.get("type", "") for x in r["actions"]), r.get("cooldown_seconds"), tuple(sorted(r.get("labels", {}).items())), tuple(json.dumps({"type": x} if isinstance(x, str) else x) for x in r["actions"])))
     if len({r.name for r in rules}) < len(rules):
         raise ValueError("alert rule names must differ")
     return Config(a.get("enabled", False), a.get("cooldown_seconds", GLOBAL_COOLDOWN_S), rules, a.get("smtp", {}))
@@ -168,3 +175,76 @@ def evaluate(df: DataFrame, config: Config, muted: tuple[str, ...] = ()) -> Data
 
 def history(fired: DataFrame, n: int = 100) -> DataFrame:
     return fired.orderBy(F.desc("ts"), F.desc("seq")).limit(n)
+
+
+RESULT = "rule string, seq bigint, action string, error string"
+
+
+def _send(action: dict, smtp: dict, alert: dict) -> None:
+    """One webhook call, mail or desktop notice."""
+    fill_in = lambda t: t.replace("{rule_name}", alert["rule_name"]).replace("{line_preview}", alert["line_preview"]).replace("{timestamp}", alert["timestamp"]).replace("{level}", alert["labels"].get("level") or alert["labels"].get("severity") or "")
+    if action["type"] == "webhook":
+        headers = {"content-type": "application/json"} | action.get("headers", {})
+        request = urllib.request.Request(action["url"], json.dumps(alert).encode(), headers, method=action.get("method", "POST").upper())
+        urllib.request.urlopen(request, timeout=30).close()
+    elif action["type"] == "email":
+        if not smtp:
+            raise ValueError("a mail needs the smtp settings")
+        with smtplib.SMTP(smtp["host"], int(smtp.get("port", 587)), timeout=30) as server:
+            if smtp.get("starttls", True):
+                server.starttls()
+            if smtp.get("username"):
+                server.login(smtp["username"], smtp.get("password", ""))
+            for to in action["to"]:
+                mail = EmailMessage()
+                mail["From"], mail["To"] = smtp["from"], to
+                mail["Subject"] = fill_in(action.get("subject_template") or "Alert: {rule_name}")
+                mail.set_content("\n".join(f"{k}: {v}" for k, v in alert.items()))
+                server.send_message(mail)
+    elif action["type"] == "desktop":
+        subprocess.run(["notify-send", action.get("title") or alert["rule_name"], alert["message"]], check=True, timeout=30, capture_output=True)
+    else:
+        raise ValueError(f"unknown action {action['type']!r}")
+
+
+def deliver(fired: DataFrame, rows: DataFrame, config: Config, *, allow: bool = False, send: Callable[[dict, dict, dict], None] | None = None) -> DataFrame:
+    """Carry out the actions of fired alerts: one row per alert and action, with
+    its error or null.
+
+    Nothing is sent unless ``allow`` is set. Alerts with ``notify`` false send
+    nothing. Actions run in the tasks that hold the alerts, when the result is
+    written; a task that runs again sends again, so receivers see each alert at
+    least once. A failed action doesn't stop the others.
+    """
+    details = {r.name: [json.loads(x) for x in r.details] for r in config.rules}
+    smtp, act = dict(config.smtp), send or _send
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for rule, seq, message, preview, stamp, labels in zip(b["rule"], b["seq"], b["message"], b["preview"], b["stamp"], b["labels"]):
+                alert = {"rule_name": rule, "message": message, "line_preview": preview, "timestamp": stamp, "labels": dict(labels or {})}
+                for action in details.get(rule, []):
+                    error = None
+                    try:
+                        if not allow:
+                            raise ValueError("actions run only with allow=True")
+                        act(action, smtp, alert)
+                    except Exception as e:
+                        error = str(e) or type(e).__name__
+                    out.append((rule, seq, action["type"], error))
+            yield pd.DataFrame(out, columns=["rule", "seq", "action", "error"])
+
+    told = fired.where("notify").join(rows.select("seq", "line", "labels"), "seq")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return told.select("rule", "seq", "message", _preview(F.col("line"), 120).alias("preview"), stamp.alias("stamp"), "labels").mapInPandas(run, RESULT)
+
+
+def action_sink(config: Config, log: str, *, muted: tuple[str, ...] = (), allow: bool = False, send: Callable[[dict, dict, dict], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: alerts of a micro-batch of log rows are acted on, and
+    the outcomes appended under ``log``, one folder per batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        deliver(evaluate(batch, config, muted), batch, config, allow=allow, send=send).write.mode("overwrite").parquet(f"{log}/micro={batch_id}")
+
+    return write

@@ -99,25 +99,24 @@ def stated_level(text: Column) -> Column:
 def parse_headers(lines: DataFrame, layouts: list[T.Layout], *, line: str = "line", ts_us: str = "ts_us", times: bool = True) -> DataFrame:
     """Add ``is_head``, ``event_us``, ``log_level``, ``component`` to each line.
 
-    One pass of built-in regular expressions; the first layout that matches
-    counts. ``event_us`` of a header without a (valid) time is the row's own;
+    One pass of built-in regular expressions, tried where a line may be of a
+    layout; the first that matches counts. ``event_us`` of a header without a (valid) time is the row's own;
     with ``times`` off it is for all, for callers that go by the rows' times.
     """
     clean = lines.withColumn("_p", T.plain(F.col(line)))
 
     def read(s: Column) -> Column:
-        """``layout SEP time SEP level SEP component``: one match tells which
-        layout it is, a second one copies what its groups hold."""
-        out = None
+        """``SEP layout SEP time SEP level SEP component`` of the first layout
+        that matches: a replacement that leaves other lines as they are."""
+        tries = []
         for i, lay in enumerate(layouts):
-            hit = F.substring(s["p"], 1, 1).isin(list(lay.first)) & s["p"].rlike(lay.regex)
             groups = SEP.join(f"${g}" if g else "" for g in (lay.time, lay.level, lay.component))
-            text = F.concat(F.lit(f"{i}{SEP}"), F.regexp_replace(s["p"], lay.regex + "(?s:.*)$", groups))
-            out = F.when(hit, text) if out is None else out.when(hit, text)
-        return F.lit(None).cast("string") if out is None else out
+            text = F.regexp_replace(s["p"], lay.regex + "(?s:.*)$", f"{SEP}{i}{SEP}{groups}")
+            tries.append(F.when(lay.may_head(s["p"]), bind(text, lambda x: F.when(x.startswith(SEP), x))))
+        return F.coalesce(*tries) if tries else F.lit(None).cast("string")
 
     clean = clean.withColumn("_f", F.split(fence([F.col("_p").alias("p")], read), SEP))
-    get = lambda i: F.nullif(F.get("_f", F.lit(i)), F.lit(""))
+    get = lambda i: F.nullif(F.get("_f", F.lit(i + 1)), F.lit(""))
     kind = F.get(F.array(*[F.lit(x.kind) for x in layouts]) if layouts else F.array().cast("array<string>"), get(0).cast("int"))
     clean = clean.withColumns({"_k": kind, "_t": get(1)})
     when = fence([F.col("_k").alias("k"), F.col("_t").alias("t"), F.col(ts_us).alias("ts")], lambda s: stated_time(s["k"], s["t"], s["ts"]))

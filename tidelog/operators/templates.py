@@ -153,6 +153,15 @@ class Layout:
             return "JFMASOND"
         return "".join(map(chr, (*range(65, 91), *range(97, 123)))) if r.startswith("([A-Z") else "0123456789"
 
+    def may_head(self, line: Column) -> Column:
+        """A cheap test that all lines of this layout pass: the first character,
+        and the place of the first punctuation of a time in the first column."""
+        test = F.substring(line, 1, 1).isin(list(self.first))
+        place = {ISO: (5, "-"), SLASH: (5, "/"), CLOCK: (3, ":"), BSD: (4, " ")}.get(self.kind)
+        if place and self.regex.startswith("^(" + TIMES[self.kind]):
+            test = test & (F.substring(line, place[0], 1) == place[1])
+        return test
+
     @property
     def key(self) -> str:
         return f"{self.regex}\x00{self.time}\x00{self.kind}\x00{self.level}\x00{self.component}"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog import oracles
 from tidelog.operators import delivery, entries, hierarchy, lateness, nested, templates
 from tidelog.runtime import table
 
@@ -140,6 +141,9 @@ _TREE = """ids AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": oracles.P2_FOUND,
+        "p5_found": oracles.P5_FOUND,
+        "p5_tables": oracles.P5_TABLES,
         "p3_found": f"""WITH RECURSIVE {_TREE}
 SELECT u.trace_id, u.span_id, coalesce(t.root, '') AS root_span_id, CAST(coalesce(t.depth, -1) AS INTEGER) AS span_depth, CAST(coalesce(b.n, -1) AS INTEGER) AS n_descendants
 FROM up u LEFT JOIN tree t USING (trace_id, span_id) LEFT JOIN below b ON b.trace_id = u.trace_id AND b.a = u.span_id""",

@@ -1,27 +1,22 @@
-"""Log stores: their answers as rows, and Python data sources that ask them.
+"""Log stores: their answers as rows, requests and their signing.
 
-Answers saved as files are read by ``*_rows``; live stores by the data sources
-``log_store`` (batch) with any of the three kinds. Requests use the standard
-library only.
+Answers saved as files are read by ``*_rows``; ``stores`` asks live ones.
+Requests use the standard library only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
-import json
 import urllib.error
-import urllib.parse
 import urllib.request
-from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from tidelog.model import SCHEMA, AuthFailed, ConnectionFailed, QueryFailed, RateLimited, TimedOut
+from tidelog.model import AuthFailed, ConnectionFailed, QueryFailed, RateLimited, TimedOut
 
 
 def _numbered(df: DataFrame, *order) -> DataFrame:
@@ -131,69 +126,3 @@ def ask(url: str, body: bytes | None = None, headers: dict[str, str] | None = No
         raise TimedOut(url) from e
     except urllib.error.URLError as e:
         raise ConnectionFailed(f"{url}: {e.reason}") from e
-
-
-class _Slice(InputPartition):
-    def __init__(self, start_ns: int, end_ns: int):
-        self.start_ns, self.end_ns = start_ns, end_ns
-
-
-class LokiReader(DataSourceReader):
-    """Range queries, one per time slice, so slices load in parallel."""
-
-    def __init__(self, options: dict):
-        self.o = options
-
-    def partitions(self) -> list[InputPartition]:
-        a, b, n = int(self.o["start_ns"]), int(self.o["end_ns"]), int(self.o.get("slices", 1))
-        step = max(1, (b - a) // n)
-        return [_Slice(a + i * step, b if i == n - 1 else a + (i + 1) * step - 1) for i in range(n)]
-
-    def read(self, part: _Slice) -> Iterator[tuple]:
-        q = urllib.parse.urlencode({"query": self.o.get("query", "{}"), "start": part.start_ns, "end": part.end_ns, "limit": self.o.get("limit", 5000), "direction": "backward"})
-        got = json.loads(ask(f"{self.o['url'].rstrip('/')}/loki/api/v1/query_range?{q}"))
-        rows = [(int(v[0]), s["stream"], v[1]) for s in got["data"]["result"] for v in s["values"]]
-        for ns, labels, line in sorted(rows, key=lambda r: -r[0]):
-            yield -ns, datetime.fromtimestamp(ns // 1_000_000_000, timezone.utc).replace(microsecond=ns // 1000 % 1_000_000), labels, line, None
-
-
-class ElasticTail(SimpleDataSourceStreamReader):
-    """Polls a search with a (time, id) cursor; the cursor is the offset."""
-
-    def __init__(self, options: dict):
-        self.o = options
-
-    def initialOffset(self) -> dict:
-        return {"after": [int(self.o.get("start_ms", 0)), ""]}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        body = search_body(self.o.get("query", ""), int(self.o.get("start_ms", 0)), 1 << 52, int(self.o.get("page", 500)), start["after"], True)
-        got = json.loads(ask(f"{self.o['url'].rstrip('/')}/{self.o.get('index', '_all')}/_search", json.dumps(body).encode(), {"content-type": "application/json"}))
-        hits = got["hits"]["hits"]
-        rows = [(int(h["sort"][0]), datetime.fromtimestamp(int(h["sort"][0]) / 1000, timezone.utc), {"_index": h["_index"]}, json.dumps(h["_source"]), json.dumps(h["_source"])) for h in hits]
-        return iter(rows), {"after": hits[-1]["sort"]} if hits else start
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows, at = self.read(start)
-        return (r for r in rows if r[0] <= end["after"][0])
-
-
-class LogStore(DataSource):
-    """``spark.read.format("log_store").option("url", …).option("start_ns", …)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "log_store"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return LokiReader(self.options)
-
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return ElasticTail(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(LogStore)
