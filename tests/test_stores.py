@@ -162,6 +162,30 @@ def test_file_tail_and_merged_tails(spark, tmp_path):
     assert sorted((r.labels["__source__"], r.labels["level"], r.line) for r in got) == sorted((s, lv, x) for s in "xy" for lv, x in (("info", "old"), ("error", "ERROR new"), ("info", "half done")))
 
 
+def test_command_and_container_tails(spark, tmp_path):
+    f = tmp_path / "said"
+    f.write_text("one\n")
+    t = stores.CommandTail({"kind": "command", "command": f"cat {f}", "allow": "true"})
+    at = t.begin()
+    f.write_text("one\nPANIC two\n")
+    rows, at = t.follow(at)
+    assert [x for _, x in rows] == ["PANIC two"] and t.follow(at)[0] == []
+    stub = tmp_path / "docker"
+    stub.write_text(f"#!/bin/sh\ncat {tmp_path}/log\n")
+    stub.chmod(0o755)
+    log = tmp_path / "log"
+    log.write_text("2030-01-01T00:00:00.1Z a\n2030-01-01T00:00:00.2Z b\n")
+    t = stores.CommandTail({"kind": "docker", "container": "c", "program": str(stub), "allow": "true"})
+    rows, at = t.follow(t.begin())
+    assert [x for _, x in rows] == ["a", "b"]
+    log.write_text("2030-01-01T00:00:00.2Z b\n2030-01-01T00:00:00.2Z b\n2030-01-01T00:00:00.3Z c\n")
+    assert [x for _, x in t.follow(at)[0]] == ["b", "c"]
+    with pytest.raises(QueryFailed):
+        stores.CommandTail({"kind": "docker"})
+    got = drain(registry.tail(spark, {"type": "command", "command": f"cat {f}", "allow": True, "from_start": True}), spark, "command_tail", tmp_path)
+    assert sorted((r.line, r.labels["service"], r.labels["level"]) for r in got) == [("PANIC two", "cat", "fatal"), ("one", "cat", "info")]
+
+
 def test_throttling_is_waited_out_and_errors_pass(url):
     waits: list[float] = []
     Stub.throttle = 2

@@ -356,6 +356,14 @@ def log_dashboard(spark, d):
     return r.select(F.col("start").cast("timestamp_ntz").alias("start"), "requests", "errors", *[f"status_{k}xx" for k in "2345"])
 
 
+@query(rf"""WITH r AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, array_to_string(list_filter(string_split_regex(regexp_replace(line, '^ +| +$', '', 'g'), '\s+'), lambda t: NOT regexp_matches(t, '^[0-9.:TZ-]*$'))[1:3], ' ') AS e,
+  CAST(regexp_extract(line, '{analytics.LATENCY}', 1) AS DOUBLE) * CASE lower(regexp_extract(line, '{analytics.LATENCY}', 2)) WHEN 'us' THEN 0.001 WHEN 's' THEN 1000 ELSE 1 END AS ms FROM log_entry WHERE regexp_matches(line, '{analytics.LATENCY}')),
+ g AS (SELECT start, CASE WHEN e = '' THEN '<unknown>' ELSE e END AS endpoint, count(*) AS requests, max(ms) AS max_ms FROM r GROUP BY 1, 2)
+SELECT start, endpoint, requests, max_ms, CAST(row_number() OVER (PARTITION BY start ORDER BY requests DESC, endpoint) AS INTEGER) AS place FROM g QUALIFY place <= 5""")
+def log_dashboard_endpoints(spark, d):
+    return analytics.dashboard_endpoints(log(spark, d), "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 # Traces: the spans of trace_span as the lines that would tell them
 
 

@@ -238,7 +238,9 @@ def snapshot(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def live_dashboard(df: DataFrame, every: str = "1 second") -> DataFrame:
-    """Requests, errors, latency percentiles and status classes per window."""
+    """Requests, errors, latency percentiles and status classes per window. The
+    percentiles are approximate (one in 10,000 ranks), as streams need them;
+    :func:`slowest_endpoints` has exact ones."""
     status = F.regexp_extract("line", r"(?:^|[ =])([2-5])\d\d(?: |$)", 1)
     rows = df.select("ts", is_error_analytics().cast("int").alias("e"), latency_ms(F.col("line")).alias("ms"), status.alias("s"))
     return rows.groupBy(F.window("ts", every).alias("w")).agg(
@@ -246,3 +248,12 @@ def live_dashboard(df: DataFrame, every: str = "1 second") -> DataFrame:
         F.percentile_approx("ms", 0.5).alias("p50_ms"), F.percentile_approx("ms", 0.95).alias("p95_ms"), F.percentile_approx("ms", 0.99).alias("p99_ms"),
         *[F.count(F.when(F.col("s") == k, 1)).alias(f"status_{k}xx") for k in "2345"],
     ).select(F.col("w.start").alias("start"), "*").drop("w")
+
+
+def dashboard_endpoints(df: DataFrame, every: str = "1 second", n: int = 5) -> DataFrame:
+    """The ``n`` endpoints of each window with most rows, ties by name, with
+    their rows and slowest answer. Rows are counted per window and endpoint before any order."""
+    rows = df.select(F.window("ts", every)["start"].alias("start"), endpoint_key(F.col("line")).alias("endpoint"), latency_ms(F.col("line")).alias("ms")).where("ms is not null")
+    g = rows.groupBy("start", "endpoint").agg(F.count(F.lit(1)).alias("requests"), F.max("ms").alias("max_ms"))
+    rank = F.row_number().over(W.partitionBy("start").orderBy(F.desc("requests"), "endpoint"))
+    return g.withColumn("place", rank).where(F.col("place") <= n)

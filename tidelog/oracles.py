@@ -37,6 +37,9 @@ HEADS = (
 )
 
 
+LEVEL_SQL = _level_sql("lv")
+
+
 def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -58,15 +61,18 @@ def _iso_sql(x: str) -> str:
 _NEAREST = """(SELECT arg_min(c, (abs(c - ts_us), c)) FROM (SELECT {of} AS c FROM (VALUES (-1), (0), (1)) AS y(k)) WHERE c IS NOT NULL)"""
 _YEARLY = _NEAREST.format(of="epoch_us(try_strptime((year(make_timestamp(ts_us)) + k)::VARCHAR || ' ' || {x}, '{f}'))")
 
-P2_FOUND = f"""WITH lines AS (
+#: Physical lines with their layout and what its groups hold; ``gid`` numbers the entries of a stream.
+P2_HEADS = f"""lines AS (
   SELECT 'log_entry' AS source_table, coalesce(labels['stream'], '') AS stream, seq AS row_id, 0 AS line_no, epoch_us(ts) AS ts_us, coalesce(line, '') AS line FROM log_entry
   UNION ALL SELECT 'grouped_entry', stream, group_id, k - 1, ts_us, coalesce(all_lines[k], '') FROM (
     SELECT coalesce(labels['stream'], '') AS stream, group_id, epoch_us(ts) AS ts_us, list_concat([line], coalesce(continuation_lines, [])) AS all_lines, unnest(range(1, len(coalesce(continuation_lines, [])) + 2)) AS k FROM grouped_entry)),
  plain AS (SELECT *, rtrim(regexp_replace(line, '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS p FROM lines),
  which AS (SELECT *, {_WHICH} AS h FROM plain),
- parts AS (SELECT source_table, stream, row_id, line_no, ts_us, h, {_pick(lambda i, x: _q(x[0]))} AS kind, {_GROUP(2)} AS t, {_GROUP(3)} AS lv, coalesce({_GROUP(4)}, '') AS component FROM which),
- heads AS (SELECT *, sum(CASE WHEN h IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY source_table, stream ORDER BY row_id, line_no) AS gid FROM parts),
- entries AS (SELECT source_table, min(row_id) FILTER (h IS NOT NULL) AS row_id, arg_min(line_no, (row_id, line_no)) AS line_no, arg_min(ts_us, (row_id, line_no)) AS ts_us, arg_min(kind, (row_id, line_no)) AS kind, arg_min(t, (row_id, line_no)) AS t, arg_min(lv, (row_id, line_no)) AS lv, arg_min(component, (row_id, line_no)) AS component, CAST(count(*) AS INTEGER) AS n_lines
+ parts AS (SELECT source_table, stream, row_id, line_no, ts_us, h, line, p, {_pick(lambda i, x: _q(x[0]))} AS kind, {_GROUP(2)} AS t, {_GROUP(3)} AS lv, coalesce({_GROUP(4)}, '') AS component FROM which),
+ heads AS (SELECT *, sum(CASE WHEN h IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY source_table, stream ORDER BY row_id, line_no) AS gid FROM parts)"""
+
+P2_FOUND = f"""WITH {P2_HEADS},
+ entries AS (SELECT source_table, min(row_id) FILTER (h IS NOT NULL) AS row_id, arg_min(line_no, (row_id, line_no)) AS line_no, arg_min(ts_us, (row_id, line_no)) AS ts_us, arg_min(kind, (row_id, line_no)) AS kind, arg_min(t, (row_id, line_no)) AS t, arg_min(lv, (row_id, line_no)) AS lv, arg_min(component, (row_id, line_no)) AS component, CAST(count(*) AS INTEGER) AS n_lines, string_agg(line, chr(10) ORDER BY row_id, line_no) AS entry_text, arg_min(line, (row_id, line_no)) AS message
   FROM heads WHERE gid > 0 GROUP BY source_table, stream, gid)
 SELECT source_table, row_id, line_no, coalesce(CASE kind
    WHEN 'iso' THEN {_iso_sql('t')}
@@ -76,8 +82,9 @@ SELECT source_table, row_id, line_no, coalesce(CASE kind
    WHEN 'sec' THEN CAST(CAST(t AS DECIMAL(20, 6)) * 1000000 AS BIGINT)
    WHEN 'ms' THEN CAST(t AS BIGINT) * 1000
    WHEN 'clock' THEN {_NEAREST.format(of="epoch_us(try_strptime(strftime(make_timestamp(ts_us), '%Y-%m-%d ') || rpad(replace(CASE WHEN contains(t, '.') OR contains(t, ',') THEN t ELSE t || '.0' END, ',', '.'), 15, '0'), '%Y-%m-%d %H:%M:%S.%f')) + k * 86400000000")}
-  END, ts_us) AS event_us, {_level_sql('lv')} AS log_level, component, n_lines
+  END, ts_us) AS event_us, {LEVEL_SQL} AS log_level, component, n_lines
 FROM entries"""
+P2_ENTRIES = P2_FOUND.replace("component, n_lines\nFROM entries", "component, message, entry_text\nFROM entries")
 
 _OPENED = r"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches(json_extract_string({x}, '$'), '^\s*[\[{{]') AND json_valid(json_extract_string({x}, '$')) THEN CAST(json_extract_string({x}, '$') AS JSON) ELSE {x} END"
 _CHILD = "json_extract(j, '/' || replace(replace(k, '~', '~0'), '/', '~1'))"

@@ -31,10 +31,10 @@ def p2_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entries with their message and all of their lines."""
+    """Entries with their message and all of their lines, one below the other."""
     lines = _lines(spark, d)
     parsed = entries.parse_headers(lines, templates.layouts(lines, "line"))
-    return entries.entry_texts(parsed).select("source_table", "row_id", "line_no", "event_us", "log_level", "component", "message", "lines")
+    return entries.entry_texts(parsed).select("source_table", "row_id", "line_no", "event_us", "log_level", "component", "message", F.array_join("lines", "\n").alias("entry_text"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -142,6 +142,7 @@ _TREE = """ids AS (
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": oracles.P2_FOUND,
+        "p2_entries": oracles.P2_ENTRIES,
         "p5_found": oracles.P5_FOUND,
         "p5_tables": oracles.P5_TABLES,
         "p3_found": f"""WITH RECURSIVE {_TREE}

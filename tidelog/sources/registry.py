@@ -44,8 +44,11 @@ def _store(read, spark: SparkSession, kind: str, c: dict) -> DataFrame:
         return remote.elastic_hits(got, order="seq")
     if kind == "cloudwatch":
         return remote.cloudwatch_events(got, c.get("log_group", ""), order="seq")
-    if kind == "file":
-        labels = F.create_map(F.lit("source"), F.lit("file"), F.lit("filename"), F.element_at(F.split("path", "/"), -1), F.lit("level"), local.guess_level(F.col("line")))
+    if kind in ("file", "command", "docker", "kubernetes"):
+        name = F.element_at(F.split("path", "/"), -1) if kind == "file" else F.col("path")
+        label = {"file": "filename", "command": "service", "docker": "container", "kubernetes": "pod"}[kind]
+        guess = kind if kind in ("file", "command") else "container"
+        labels = F.create_map(F.lit("source"), F.lit(kind), F.lit(label), F.split_part(name, F.lit(" "), F.lit(1)), F.lit("level"), local.guess_level(F.col("line"), guess))
         return got.select("seq", F.current_timestamp().alias("ts"), labels.alias("labels"), "line", F.lit(None).cast("string").alias("raw"))
     return got
 
@@ -71,7 +74,8 @@ def open_source(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def tail(spark: SparkSession, config: dict) -> DataFrame:
-    """New rows of a source as a stream: loki, elasticsearch, cloudwatch, file."""
+    """New rows of a source as a stream: the three stores, files, and with
+    ``allow`` commands, containers and pods."""
     kind = detect(config)
     if kind not in stores.KINDS:
         raise SourceError(f"{kind!r} can't be followed")

@@ -1,7 +1,8 @@
 """Live log stores: batch readers, tails, discovery and health.
 
 ``spark.read.format("log_store")`` and ``spark.readStream.format("log_store")``
-with the option ``kind`` (loki, elasticsearch, cloudwatch; tails also file). What
+with the option ``kind`` (loki, elasticsearch, cloudwatch; tails also file, command,
+docker, kubernetes). What
 comes out is what the store sends; ``registry`` brings it to log rows with the
 same expressions as saved answers. Requests use the standard library only.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import subprocess
 import time
 import urllib.parse
 from collections import Counter
@@ -304,7 +306,57 @@ class FileTail:
         return out, {"at": ends, "n": at["n"] + len(out)}
 
 
-KINDS = {"loki": Loki, "elasticsearch": Elastic, "cloudwatch": CloudWatch, "file": FileTail}
+class CommandTail:
+    """What a command, a container or a pod says from now on, asked by the driver.
+
+    A command is run anew each time and its lines beyond those given are new.
+    Containers and pods are asked since the last time stamp; lines of that
+    stamp which were given are known by their texts. Needs ``allow``.
+    """
+
+    schema = FILE_SCHEMA
+
+    def __init__(self, o: dict):
+        self.o = o
+        if str(o.get("allow", "")).lower() != "true":
+            raise QueryFailed("commands run only with allow=True")
+
+    def lines(self, args: list[str]) -> list[str]:
+        done = subprocess.run(args, capture_output=True, text=True, errors="replace", timeout=60)
+        return [x.rstrip("\r") for x in (done.stdout + done.stderr).splitlines() if x.strip()]
+
+    def stamped(self, since: str) -> list[str]:
+        if self.o["kind"] == "docker":
+            return self.lines([self.o.get("program", "docker"), "logs", "--timestamps", "--since", since, self.o["container"]])
+        what = [self.o["pod"]] if self.o.get("pod") else ["-l", self.o["selector"], "--prefix"]
+        return self.lines([self.o.get("program", "kubectl"), "logs", "-n", self.o.get("namespace", "default"), "--timestamps", f"--since-time={since}", *what])
+
+    def begin(self) -> dict:
+        if self.o["kind"] == "command":
+            return {"seen": 0 if str(self.o.get("from_start", "")).lower() == "true" else len(self.lines(["sh", "-c", self.o["command"]])), "n": 0}
+        return {"since": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ"), "seen": [], "n": 0}
+
+    def follow(self, at: dict) -> tuple[list[tuple], dict]:
+        if self.o["kind"] == "command":
+            got = self.lines(["sh", "-c", self.o["command"]])
+            out = [(self.o["command"], x) for x in got[at["seen"] :]]
+            return out, {"seen": max(len(got), at["seen"]), "n": at["n"] + len(out)}
+        left, out, last, seen = Counter(at["seen"]), [], at["since"], list(at["seen"])
+        for x in self.stamped(at["since"]):
+            stamp, _, text = x.partition(" ")
+            if stamp == at["since"] and left[text]:
+                left[text] -= 1
+                continue
+            if stamp > last:
+                last, seen = stamp, []
+            if stamp == last:
+                seen.append(text)
+            if text:
+                out.append((self.o.get("container") or self.o.get("pod") or self.o.get("selector"), text))
+        return out, {"since": last, "seen": seen, "n": at["n"] + len(out)}
+
+
+KINDS = {"loki": Loki, "elasticsearch": Elastic, "cloudwatch": CloudWatch, "file": FileTail, "command": CommandTail, "docker": CommandTail, "kubernetes": CommandTail}
 
 
 class Slice(InputPartition):
