@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog import oracles
 from tidelog.llm import digests, leaks, mixing, runs, subjects
 from tidelog.runtime import table
 
@@ -114,6 +115,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_percentiles, p1_certified, p4_found, p4_runs, p4_similar, p4_relay, p8_found, p8_near, p9_mix, p9_shares, p9_goals, p9_tempered, p10_found, p10_composition, p10_rules)}
 
 
+def _constant(line: str) -> str:
+    """:func:`runs.constant_text` as DuckDB says it."""
+    c = f"lower(rtrim(regexp_replace({line}, '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
+    for pattern, put in ((runs.TIMES, "#"), (r"(^|[^\w])[+-]?(?:[a-z_][a-z_.@-]*)?\d[\w.:+@-]*%?", r"\1#"), (r"#(?:,#)+", "#"), (runs.UNITS, "#"), (r"\s\s+|[\t\r\n]", " ")):
+        c = f"regexp_replace({c}, '{pattern}', '{put}', 'g')"
+    return f"trim({c}, ' ')"
+
+
+_RELAY = f"""w AS (SELECT coalesce(stream_name, '') AS stream, group_id, coalesce(event_count, 1) AS n, coalesce(epoch_us(coalesce(first_ts, last_ts)), 0) AS t0, coalesce(epoch_us(coalesce(last_ts, first_ts)), 0) AS t1, {_constant("coalesce(line, '')")} AS c FROM dedup_group),
+ d AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY group_id) AS run FROM (SELECT *, coalesce(c = lag(c) OVER (PARTITION BY stream ORDER BY group_id), FALSE) AS same FROM w)),
+ relay AS (SELECT stream, min(group_id) AS first_id, max(group_id) AS last_id, CAST(sum(n) AS BIGINT) AS event_count, min(t0) AS first_us, max(t1) AS last_us FROM d GROUP BY stream, run HAVING sum(n) > 1)"""
+
+
+_RUNS = f"""e AS (SELECT stream, min(row_id) AS id, any_value(l) FILTER (h IS NOT NULL) || chr(31) || arg_min(component, row_id) || chr(31) || string_agg(c, chr(31) ORDER BY row_id) AS key, count(*) AS n, arg_min(line, row_id) AS line
+   FROM (SELECT *, {oracles.LEVEL_SQL} AS l, {_constant('line')} AS c FROM heads WHERE source_table = 'log_entry' AND gid > 0) GROUP BY stream, gid),
+ r AS (SELECT *, CASE WHEN n = 1 AND contains(line, 'repeated') THEN TRY_CAST(nullif(regexp_extract(lower(line), '{runs.REPEATED}', 1), '') AS BIGINT) END AS told FROM e),
+ k AS (SELECT *, last_value(CASE WHEN told IS NULL THEN key END IGNORE NULLS) OVER (PARTITION BY stream ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eff, last_value(CASE WHEN told IS NULL THEN key END IGNORE NULLS) OVER (PARTITION BY stream ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+ g AS (SELECT *, sum(CASE WHEN told IS NULL AND key IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY id) AS run FROM k WHERE eff IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_certified": """WITH once AS (SELECT metric_name, labels['service'] AS service, batch_day, metric_value AS v FROM log_metric
@@ -128,12 +149,14 @@ def oracle_sql() -> dict[str, str]:
  g AS (SELECT column_name, group_name, service, period, level, list_sort(list(v)) AS vs, count(*) AS n FROM everything WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2, 3, 4, 5)
 SELECT column_name, group_name, service, CAST(epoch_us(period) AS VARCHAR) AS period_us, level, quantile, n, TRUE AS within_bound, CASE WHEN n <= 100 THEN vs[greatest(1, ceil(quantile * n - 1e-9)::BIGINT)] END AS small_estimate
 FROM g, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (0.999::DOUBLE)) AS q(quantile)""",
-        "p4_relay": rf"""WITH a AS (SELECT coalesce(stream_name, '') AS stream, group_id, coalesce(event_count, 1) AS n, coalesce(epoch_us(coalesce(first_ts, last_ts)), 0) AS t0, coalesce(epoch_us(coalesce(last_ts, first_ts)), 0) AS t1,
-    lower(rtrim(regexp_replace(coalesce(line, ''), '\x1b\[[0-9;]*[A-Za-z]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS c FROM dedup_group),
- b AS (SELECT * REPLACE (regexp_replace(regexp_replace(c, '{runs.TIMES}', '#', 'g'), '(^|[^\w])[+-]?(?:[a-z_][a-z_.@-]*)?\d[\w.:+@-]*%?', '\1#', 'g') AS c) FROM a),
- k AS (SELECT * REPLACE (trim(regexp_replace(regexp_replace(regexp_replace(c, '#(?:,#)+', '#', 'g'), '{runs.UNITS}', '#', 'g'), '\s\s+|[\t\r\n]', ' ', 'g'), ' ') AS c) FROM b),
- g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY group_id) AS run FROM (SELECT *, coalesce(c = lag(c) OVER (PARTITION BY stream ORDER BY group_id), FALSE) AS same FROM k))
-SELECT stream, min(group_id) AS first_id, max(group_id) AS last_id, CAST(sum(n) AS BIGINT) AS event_count, min(t0) AS first_us, max(t1) AS last_us FROM g GROUP BY stream, run HAVING sum(n) > 1""",
+        "p4_relay": f"WITH {_RELAY} SELECT * FROM relay",
+        "p4_found": f"""WITH {oracles.P2_HEADS}, {_RELAY}, {_RUNS}
+SELECT 'log_entry' AS source_table, min(id) AS first_id, max(id) AS last_id, CAST(sum(coalesce(told, 1)) AS BIGINT) AS event_count FROM g GROUP BY stream, run HAVING sum(coalesce(told, 1)) > 1
+UNION ALL SELECT 'dedup_group', first_id, last_id, event_count FROM relay""",
+        "p4_runs": f"""WITH {oracles.P2_TIMED}, {_RELAY}, {_RUNS}
+SELECT 'log_entry' AS source_table, stream, min(id) AS first_id, max(id) AS last_id, CAST(sum(coalesce(told, 1)) AS BIGINT) AS event_count, min(event_us) AS first_us, max(event_us) AS last_us
+FROM g JOIN timed t ON t.source_table = 'log_entry' AND t.row_id = g.id GROUP BY stream, run HAVING sum(coalesce(told, 1)) > 1
+UNION ALL SELECT 'dedup_group', stream, first_id, last_id, event_count, first_us, last_us FROM relay""",
         "p8_found": r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS ws FROM eval_item),
  g AS (SELECT DISTINCT item_id, array_to_string(ws[i:i+12], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
  d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),

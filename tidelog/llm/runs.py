@@ -57,7 +57,7 @@ def agglomerate(events: list[tuple], min_similarity: float, max_gap: int | None)
     for i, key, toks, weight, first, last, rep in events:
         if rep and runs:
             r = runs[-1]
-            r[3], r[4], r[6] = i, r[4] + weight, max(r[6], last)
+            r[3], r[4], r[5], r[6] = i, r[4] + weight, min(r[5], first), max(r[6], last)
         else:
             runs.append([None if rep else key, toks, i, i, weight, first, last])
     n = len(runs)
