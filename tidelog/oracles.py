@@ -71,10 +71,10 @@ P2_HEADS = f"""lines AS (
  parts AS (SELECT source_table, stream, row_id, line_no, ts_us, h, line, p, {_pick(lambda i, x: _q(x[0]))} AS kind, {_GROUP(2)} AS t, {_GROUP(3)} AS lv, coalesce({_GROUP(4)}, '') AS component FROM which),
  heads AS (SELECT *, sum(CASE WHEN h IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY source_table, stream ORDER BY row_id, line_no) AS gid FROM parts)"""
 
-P2_FOUND = f"""WITH {P2_HEADS},
+P2_TIMED = f"""{P2_HEADS},
  entries AS (SELECT source_table, min(row_id) FILTER (h IS NOT NULL) AS row_id, arg_min(line_no, (row_id, line_no)) AS line_no, arg_min(ts_us, (row_id, line_no)) AS ts_us, arg_min(kind, (row_id, line_no)) AS kind, arg_min(t, (row_id, line_no)) AS t, arg_min(lv, (row_id, line_no)) AS lv, arg_min(component, (row_id, line_no)) AS component, CAST(count(*) AS INTEGER) AS n_lines, string_agg(line, chr(10) ORDER BY row_id, line_no) AS entry_text, arg_min(line, (row_id, line_no)) AS message
-  FROM heads WHERE gid > 0 GROUP BY source_table, stream, gid)
-SELECT source_table, row_id, line_no, coalesce(CASE kind
+  FROM heads WHERE gid > 0 GROUP BY source_table, stream, gid),
+ timed AS (SELECT source_table, row_id, line_no, coalesce(CASE kind
    WHEN 'iso' THEN {_iso_sql('t')}
    WHEN 'clf' THEN epoch_us(try_strptime(t, '%d/%b/%Y:%H:%M:%S %z'))
    WHEN 'bsd' THEN {_YEARLY.format(x="regexp_replace(t, ' +', ' ', 'g')", f='%Y %b %d %H:%M:%S')}
@@ -82,9 +82,9 @@ SELECT source_table, row_id, line_no, coalesce(CASE kind
    WHEN 'sec' THEN CAST(CAST(t AS DECIMAL(20, 6)) * 1000000 AS BIGINT)
    WHEN 'ms' THEN CAST(t AS BIGINT) * 1000
    WHEN 'clock' THEN {_NEAREST.format(of="epoch_us(try_strptime(strftime(make_timestamp(ts_us), '%Y-%m-%d ') || rpad(replace(CASE WHEN contains(t, '.') OR contains(t, ',') THEN t ELSE t || '.0' END, ',', '.'), 15, '0'), '%Y-%m-%d %H:%M:%S.%f')) + k * 86400000000")}
-  END, ts_us) AS event_us, {LEVEL_SQL} AS log_level, component, n_lines
-FROM entries"""
-P2_ENTRIES = P2_FOUND.replace("component, n_lines\nFROM entries", "component, message, entry_text\nFROM entries")
+  END, ts_us) AS event_us, {LEVEL_SQL} AS log_level, component, n_lines, message, entry_text FROM entries)"""
+P2_FOUND = f"WITH {P2_TIMED} SELECT source_table, row_id, line_no, event_us, log_level, component, n_lines FROM timed"
+P2_ENTRIES = f"WITH {P2_TIMED} SELECT source_table, row_id, line_no, event_us, log_level, component, message, entry_text FROM timed"
 
 _OPENED = r"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches(json_extract_string({x}, '$'), '^\s*[\[{{]') AND json_valid(json_extract_string({x}, '$')) THEN CAST(json_extract_string({x}, '$') AS JSON) ELSE {x} END"
 _CHILD = "json_extract(j, '/' || replace(replace(k, '~', '~0'), '/', '~1'))"
