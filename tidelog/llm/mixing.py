@@ -217,7 +217,14 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | str | None = None,
     return spark.createDataFrame(out, "mix_name string, doc_source string, target_share double, max_repeats int, weight double, exponent double, source_tokens bigint, budget double, passes int, rest double, largest bigint")
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | str | None = None, evenness: float | None = None, tokenizer: str = TOKENIZER, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+def counted_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str = TOKENIZER) -> DataFrame:
+    """``doc_id``, ``doc_source`` and ``n_tokens`` of the documents that may be
+    mixed, written down: several mixes of them count tokens once."""
+    named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), source_name(source).alias("doc_source"))
+    return cut(token_counts(named.where("doc_source is not null and text <> ''"), ["doc_id", "doc_source"], "text", tokenizer))
+
+
+def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | str | None = None, evenness: float | None = None, tokenizer: str = TOKENIZER, seed: str = "mix", counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(multiset, report): ``copies`` of each document per mix, and the shares reached.
 
     Every document of a source is used ``passes`` times; the last, partial pass
@@ -225,9 +232,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: st
     to the rest. The prefix is found over block sums (``BLOCKS`` per source),
     then inside the one border block: no task holds a source. Documents
     without source, text or id are in no mix; repeated rows count as they come.
+    ``counted``: what :func:`counted_documents` gave, if it is there.
     """
-    named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), source_name(source).alias("doc_source"))
-    counted = cut(token_counts(named.where("doc_source is not null and text <> ''"), ["doc_id", "doc_source"], "text", tokenizer))
+    if counted is None:
+        counted = counted_documents(docs, doc_id=doc_id, text=text, source=source, tokenizer=tokenizer)
     sizes = counted.groupBy("doc_source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
     plans = plan(sizes, targets, total, evenness)
     order = F.xxhash64(F.lit(seed), F.col("mix_name"), F.col("doc_id"))

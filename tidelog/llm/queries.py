@@ -77,9 +77,10 @@ def p9_goals(spark: SparkSession, d: str) -> DataFrame:
     its tokens come within one document of the budget, and whether the shares
     of the mix add up to 1."""
     docs, targets = table(spark, d, "documents"), table(spark, d, "mix_target")
+    counted = mixing.counted_documents(docs)
     out = None
     for goal, how in GOALS.items():
-        r = mixing.mix(docs, targets, **how)[1]
+        r = mixing.mix(docs, targets, counted=counted, **how)[1]
         r = r.select(
             F.lit(goal).alias("goal"), "mix_name", "doc_source", "max_repeats", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"),
             (F.abs(F.col("mixed_tokens") - F.col("budget")) <= F.col("largest") + 1).alias("within_a_document"),

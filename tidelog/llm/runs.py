@@ -91,15 +91,15 @@ def agglomerate(events: list[tuple], min_similarity: float, max_gap: int | None)
     return [r for r, ok in zip(runs, alive) if ok]
 
 
-RUN = "source_table string, stream string, block bigint, run int, side int, key string, toks array<bigint>, first_id bigint, last_id bigint, event_count bigint, first_us bigint, last_us bigint"
+RUN = "source_table string, stream string, block bigint, run int, side int, key bigint, toks array<bigint>, first_id bigint, last_id bigint, event_count bigint, first_us bigint, last_us bigint"
 
 
 def collapse(events: DataFrame, *, max_gap_us: int | None = None, block: int = BLOCK, singles: bool = False) -> DataFrame:
     """One row per maximal run of equal events: first and last id, count, first and last time.
 
     ``events``: source_table, stream, id (unique order within the stream), key
-    (equal keys are the same event), toks (array<bigint> or null, those of the
-    first event are carried), weight, first_us, last_us, repeat (a report that the
+    (equal keys are the same event; any type, compared by 64 bits), toks
+    (array<bigint> or null; with ``singles`` those of the first event are carried), weight, first_us, last_us, repeat (a report that the
     event before was repeated ``weight`` times; it has no key of its own).
 
     Block borders: the first and last run of each block go on to one pass per
@@ -126,7 +126,8 @@ def collapse(events: DataFrame, *, max_gap_us: int | None = None, block: int = B
                     out.append((*at, k, side, r[0], None if r[1] is None else list(r[1]), r[2], r[3], r[4], r[5], r[6]))
 
         for b in batches:
-            for s, st, bl, i, key, toks, weight, first, last, rep in zip(b["source_table"], b["stream"], b["block"], b["id"], b["key"], b["toks"], b["weight"], b["first_us"], b["last_us"], b["repeat"]):
+            tokens = b["toks"] if singles else [None] * len(b)
+            for s, st, bl, i, key, weight, first, last, rep, toks in zip(b["source_table"], b["stream"], b["block"], b["id"], b["key"], b["weight"], b["first_us"], b["last_us"], b["repeat"], tokens):
                 if at != (s, st, bl):
                     if held:
                         close()
@@ -142,8 +143,9 @@ def collapse(events: DataFrame, *, max_gap_us: int | None = None, block: int = B
 
     ready = events.select(
         "source_table", "stream", F.floor(F.col("id") / block).alias("block"), "id",
-        F.when(F.col("repeat"), None).otherwise(F.coalesce("key", F.concat(F.lit("\x00"), F.col("id").cast("string")))).alias("key"),
-        "toks", F.coalesce("weight", F.lit(1)).cast("bigint").alias("weight"), F.coalesce("first_us", F.lit(0)).alias("first_us"), F.coalesce("last_us", "first_us", F.lit(0)).alias("last_us"), F.coalesce("repeat", F.lit(False)).alias("repeat"),
+        F.when(F.col("key").isNull(), F.xxhash64(F.lit("lone"), "id")).otherwise(F.xxhash64("key")).alias("key"),
+        F.coalesce("weight", F.lit(1)).cast("bigint").alias("weight"), F.coalesce("first_us", F.lit(0)).alias("first_us"), F.coalesce("last_us", "first_us", F.lit(0)).alias("last_us"), F.coalesce("repeat", F.lit(False)).alias("repeat"),
+        *(["toks"] if singles else []),
     )
     blocks = ready.repartition("source_table", "stream", "block").sortWithinPartitions("source_table", "stream", "block", "id")
     runs = cut(blocks.mapInPandas(work, RUN))  # read twice below
@@ -254,7 +256,7 @@ def log_events(log_entry: DataFrame, *, times: bool = True, tokens: bool = False
     k = F.when(F.col("n_lines") == 1, F.col("component.k"))
     return both.select(
         "source_table", "stream", F.col("row_id").alias("id"),
-        F.concat_ws("\x1f", "log_level", "component.component", "n_lines", "d0", "d1").alias("key"),
+        F.xxhash64("log_level", "component.component", "n_lines", "d0", "d1").alias("key"),
         (F.col("component.t") if tokens else toks).alias("toks"), F.coalesce(k, F.lit(1)).cast("bigint").alias("weight"),
         F.col("event_us").alias("first_us"), F.col("event_us").alias("last_us"), k.isNotNull().alias("repeat"),
     )
@@ -267,7 +269,7 @@ def relay_events(dedup_group: DataFrame, *, tokens: bool = False) -> DataFrame:
     parsed = E.parse_headers(rows, T.layouts(rows, "line"), times=False)
     return parsed.select(
         "source_table", "stream", "id",
-        F.concat_ws("\x1f", "log_level", "component", F.xxhash64(constant_text(F.col("line"))), F.hash(constant_text(F.col("line")))).alias("key"),
+        F.xxhash64("log_level", "component", constant_text(F.col("line"))).alias("key"),
         (words(F.col("line")) if tokens else F.lit(None).cast("array<bigint>")).alias("toks"), "weight", F.col("ts_us").alias("first_us"), "last_us", F.lit(False).alias("repeat"),
     )
 
