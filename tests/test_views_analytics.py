@@ -142,3 +142,16 @@ def test_presets(log_rows):
     rows = log_rows([("a", {}, 0), ("b", {}, 4000), ("c", {}, 7300)])
     now = F.lit("2025-03-10 02:00:00").cast("timestamp")
     assert [r.line for r in views.preset(rows, 60, now).collect()] == ["b"]
+
+
+def test_bounded_patterns_and_leading_ones(log_rows):
+    lines = ["a b c", "x y", "a b d", "q", "a b e", "x y", "u v w z", "q"]
+    rows = log_rows(lines)
+    assert {(r.template, r.n) for r in analytics.buffer_patterns(rows, 0.5).collect()} == {("a b {*}", 3), ("x y", 2), ("q", 2), ("u v w z", 1)}
+    # two patterns at most: the one with fewest lines goes, the oldest of equals
+    assert {(r.template, r.n) for r in analytics.buffer_patterns(rows, 0.5, most=2).collect()} == {("a b {*}", 3), ("q", 1)}
+    assert {r.template for r in analytics.buffer_patterns(rows, 0.5, buffer=2).collect()} == {"u v w z", "q"}
+    assert [(r.template, r.seq) for r in analytics.new_leading_patterns(rows, 0.5, learning=1).collect()] == [("a b {*}", 2)]
+    assert analytics.new_leading_patterns(rows, 0.5, learning=3).count() == 0
+    assert {r.template for r in analytics.new_cluster_patterns(rows, 0.5, learning=3).collect()} == {"q", "u v w z"}
+    assert analytics.snapshot(rows)["new_patterns"].count() == 0

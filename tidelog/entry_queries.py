@@ -463,9 +463,42 @@ def nl_requests(spark, d):
     return spark.createDataFrame([(a, nl.translate(a)) for a, _ in REQUESTS], "request string, query string")
 
 
+CURSORS = (
+    ('{job="a", lev', "label_name", ""), ('{job="ap', "label_value", "job"), ("{", "label_name", ""), ('{job="a"} | js', "none", ""), ("plain", "none", ""), ('{a=~"x', "label_value", "a"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in CURSORS) + ") AS t(text, kind, label)")
+def vw_completion(spark, d):
+    """What may be completed where the text ends."""
+    return spark.createDataFrame([(a, *views.completion_context(a, len(a))[:2]) for a, _, _ in CURSORS], "text string, kind string, label string")
+
+
+@query(f"""WITH h AS (SELECT make_timestamp((epoch_us(ts) // 600000000) * 600000000) AS ts, count(*) AS n FROM log_entry GROUP BY 1)
+SELECT CAST(ts AS TIMESTAMP) AS ts, 'warning' AS severity, n || ' rows' AS text FROM h WHERE n > 100 UNION ALL SELECT CAST(ts AS TIMESTAMP), 'critical', line FROM log_entry WHERE lower(coalesce(labels['level'], '')) = 'fatal'""")
+def vw_incidents(spark, d):
+    """Busy spells and fatal rows as one timeline."""
+    h = views.histogram(log(spark, d), 600, last=None).where("total > 100")
+    spells = h.select(F.col("bucket").alias("ts"), F.concat(F.col("total").cast("string"), F.lit(" rows")).alias("text"))
+    marks = log(spark, d).where(F.lower(label("level")) == "fatal").select("ts", F.col("line").alias("text"))
+    return views.incident_timeline(spells, marks).select(F.col("ts").cast("timestamp_ntz").alias("ts"), "severity", "text")
+
+
 # Sources, sinks, plugins
 
 
+CONFIGS = (
+    ({}, "demo"), ({"path": "/var/log/x"}, "file"), ({"url": "http://h:9200"}, "elasticsearch"), ({"url": "https://my-opensearch.example"}, "elasticsearch"), ({"url": "https://logs.eu.amazonaws.com"}, "cloudwatch"),
+    ({"url": "http://h", "extra": {"region": "r"}}, "cloudwatch"), ({"url": "http://h:3100"}, "loki"), ({"type": "K8S", "url": "http://h"}, "kubernetes"), ({"type": "pipe"}, "stdin"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}')" for i, (_, k) in enumerate(CONFIGS)) + ") AS t(config, kind)")
+def src_detect(spark, d):
+    """The kind of source each configuration means."""
+    return spark.createDataFrame([(i, registry.detect(c)) for i, (c, _) in enumerate(CONFIGS)], "config int, kind string")
+
+
 def guess_sql(kind: str) -> str:
     words = [(lv, w + local.GUESS_EXTRA[kind].get(lv, ())) for lv, w in local.GUESS]
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(upper(line), {chr(39)}{x}{chr(39)})' for x in w)} THEN '{lv}'" for lv, w in words) + " ELSE 'info' END"
@@ -513,6 +546,16 @@ def log_csv(spark, d):
     return c.select("seq", F.regexp_replace("timestamp", r"\+00:00$", "Z").alias("timestamp"), "level", sinks.quoted(F.col("line")).alias("quoted"))
 
 
+@query("SELECT seq, line, labels['host'] AS host FROM (SELECT * FROM log_entry ORDER BY seq DESC LIMIT 1000)")
+def snk_json(spark, d):
+    """The newest 1000 rows as one JSON array, read back."""
+    one = sinks.json_array(views.newest(log(spark, d), 1000))
+    rows = one.select(F.posexplode(F.from_json("value", "array<struct<line:string,labels:map<string,string>>>")).alias("i", "x"))
+    first = views.newest(log(spark, d), 1000).agg(F.min("seq").alias("m"))
+    numbered = views.newest(log(spark, d), 1000).select("seq", (F.row_number().over(views.W.orderBy("seq")) - 1).alias("i"))
+    return rows.withColumn("m", first.scalar()).where("m is not null").join(numbered, "i").select("seq", F.col("x.line").alias("line"), F.col("x.labels")["host"].alias("host"))
+
+
 @query("SELECT seq, line, labels['stream'] AS stream, labels['host'] AS host FROM log_entry")
 def log_ndjson(spark, d):
     """JSON rows read back."""

@@ -237,7 +237,7 @@ def deliver(fired: DataFrame, rows: DataFrame, config: Config, *, allow: bool =
 
     told = fired.where("notify").join(rows.select("seq", "line", "labels"), "seq")
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    return told.select("rule", "seq", "message", _preview(F.col("line"), 120).alias("preview"), stamp.alias("stamp"), "labels").mapInPandas(run, RESULT)
+    return told.select("rule", "seq", "message", _preview(F.col("line"), 200).alias("preview"), stamp.alias("stamp"), "labels").mapInPandas(run, RESULT)
 
 
 def action_sink(config: Config, log: str, *, muted: tuple[str, ...] = (), allow: bool = False, send: Callable[[dict, dict, dict], None] | None = None) -> Callable[[DataFrame, int], None]:

@@ -41,7 +41,7 @@ class _Patterns:
         self.threshold = threshold
         self.found: list[list] = []
 
-    def take(self, toks: list[str], seq: int, line: str, ts) -> None:
+    def take(self, toks: list[str], seq: int, line: str, ts) -> list:
         best, at = 0.0, None
         for k, p in enumerate(self.found):
             s = sum(a == b or a == WILD for a, b in zip(p[0], toks)) / len(toks)
@@ -53,8 +53,9 @@ class _Patterns:
             p[1] += 1
             p[2] = line
             p[4] = ts
-        else:
-            self.found.append([list(toks), 1, line, seq, ts])
+            return p
+        self.found.append([list(toks), 1, line, seq, ts])
+        return self.found[-1]
 
 
 def cluster(df: DataFrame, threshold: float = 0.4) -> DataFrame:
@@ -88,6 +89,88 @@ def cluster(df: DataFrame, threshold: float = 0.4) -> DataFrame:
     return ordered.mapInPandas(run, "template string, n bigint, example string, first_seq bigint, last_ts timestamp")
 
 
+BUFFER_ROWS = 50_000
+MOST_PATTERNS = 1000
+
+
+class _Bounded:
+    """Patterns of all token counts, at most ``most``; room is made by dropping
+    the one with fewest lines, the oldest of equals."""
+
+    def __init__(self, threshold: float, most: int):
+        self.threshold, self.most = threshold, most
+        self.groups: dict[int, _Patterns] = {}
+        self.total = 0
+        self.lead: list | None = None
+
+    def take(self, toks: list[str], seq: int, line: str, ts) -> None:
+        group = self.groups.setdefault(len(toks), _Patterns(self.threshold))
+        before = len(group.found)
+        p = group.take(toks, seq, line, ts)
+        if len(group.found) > before:
+            self.total += 1
+            if self.total > self.most:
+                self._drop(p)
+        if self.lead is None or (p[1], -p[3]) > (self.lead[1], -self.lead[3]):
+            self.lead = p
+
+    def _drop(self, newest: list) -> None:
+        old, where = min(((p, g) for g in self.groups.values() for p in g.found if p is not newest), key=lambda x: (x[0][1], x[0][3]), default=(newest, None))
+        if where is None:
+            return
+        where.found.remove(old)
+        self.total -= 1
+        if old is self.lead:
+            self.lead = max((p for g in self.groups.values() for p in g.found), key=lambda p: (p[1], -p[3]))
+
+
+def _in_order(df: DataFrame, buffer: int) -> DataFrame:
+    """The newest ``buffer`` rows in one task, in order: a view's buffer, not the log."""
+    newest = df.orderBy(F.desc("seq")).limit(buffer)
+    rows = newest.select("seq", "line", "ts", tokens(F.col("line")).alias("toks")).where(F.size("toks") > 0)
+    return rows.coalesce(1).sortWithinPartitions("seq")
+
+
+def buffer_patterns(df: DataFrame, threshold: float = 0.4, most: int = MOST_PATTERNS, buffer: int = BUFFER_ROWS) -> DataFrame:
+    """As :func:`cluster` over a bounded buffer with a cap on patterns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = _Bounded(threshold, most)
+        for b in batches:
+            for q, line, ts, toks in zip(b["seq"], b["line"], b["ts"], b["toks"]):
+                held.take(list(toks), q, line, ts)
+        yield pd.DataFrame([(" ".join(p[0]), *p[1:]) for g in held.groups.values() for p in g.found], columns=["template", "n", "example", "first_seq", "last_ts"])
+
+    return _in_order(df, buffer).mapInPandas(run, "template string, n bigint, example string, first_seq bigint, last_ts timestamp")
+
+
+def new_leading_patterns(df: DataFrame, threshold: float = 0.4, learning: int = 1000, most: int = MOST_PATTERNS, buffer: int = BUFFER_ROWS) -> DataFrame:
+    """New patterns as a live view tells them (``top1``): after each row only the
+    pattern with most lines is looked at, and told when its template, as it is
+    then, wasn't seen in the first ``learning`` looks or later."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, known, looks, out = _Bounded(threshold, most), set(), 0, []
+        for b in batches:
+            for q, line, ts, toks in zip(b["seq"], b["line"], b["ts"], b["toks"]):
+                held.take(list(toks), q, line, ts)
+                template = " ".join(held.lead[0])
+                looks += 1
+                if template not in known:
+                    known.add(template)
+                    if looks > max(learning, 1):
+                        out.append((template, held.lead[2], q, ts))
+        yield pd.DataFrame(out, columns=["template", "example", "seq", "ts"])
+
+    return _in_order(df, buffer).mapInPandas(run, "template string, example string, seq bigint, ts timestamp")
+
+
+def new_cluster_patterns(df: DataFrame, threshold: float = 0.4, learning: int = 1000) -> DataFrame:
+    """Patterns whose first line is number ``learning`` or later (at least 1)."""
+    first = row_index(df, name="_i").select(F.col("seq").alias("first_seq"), "_i")
+    return cluster(df, threshold).join(first, "first_seq").where(F.col("_i") >= max(learning, 1)).drop("_i")
+
+
 def top_patterns(patterns: DataFrame, n: int = 20) -> DataFrame:
     return patterns.orderBy(F.desc("n"), "template").limit(n)
 
@@ -229,7 +312,7 @@ def snapshot(df: DataFrame) -> dict[str, DataFrame]:
     return {
         "patterns": top_patterns(cluster(df)),
         "anomalies": volume_anomalies(df),
-        "new_patterns": new_patterns(df, F.col("line")),
+        "new_patterns": new_cluster_patterns(df),
         "correlation": error_correlation(df),
         "trend": trend(df),
         "slowest": slowest_endpoints(df),

@@ -56,16 +56,18 @@ def surplus_copies(
     stream: str = "log_stream_name",
     event_id: str = "event_id",
     order: str = "delivery_id",
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """One row ``(kept_id, dropped_id)`` for each surplus copy of a message.
 
     The keys are pre-aggregated per salt and then once more per key; only keys
     that occur more than once go back to the rows, joined on (key, salt), so a
-    key with a third of all rows is spread over ``salts`` tasks. Nulls in the
+    key with a third of all rows is spread over ``salts`` tasks (default: as
+    many as the session shuffles to). Nulls in the
     stream, the identifier or the order match nothing. Rows repeated with the
     same order value count as one row.
     """
+    salts = salts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.where(F.col(stream).isNotNull() & F.col(event_id).isNotNull() & F.col(order).isNotNull()).select(
         F.col(stream).alias("k0"),
         message_key(event_id).alias("k1"),
