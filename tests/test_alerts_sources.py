@@ -186,3 +186,23 @@ actions = [{{ type = "webhook", url = "http://127.0.0.1:{server.server_port}/x",
     alerts.action_sink(config, str(tmp_path / "log"), allow=True)(rows, 3)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 3
     server.shutdown()
+
+
+def test_cooldown_over_spells_equals_a_plain_fold(spark):
+    import random
+
+    r = random.Random(6)
+    rows, at = [], {"a": 0, "b": 0, "free": 0}
+    for i in range(600):
+        rule = r.choice(["a", "b", "free"])
+        at[rule] += r.choice([0, 1, 20, 400, 5000])
+        rows.append((rule, i, at[rule]))
+    df = spark.createDataFrame(rows, "rule string, seq bigint, s bigint").select("rule", "seq", F.timestamp_seconds("s").alias("ts"))
+    wait = {"a": 300, "b": 4000, "free": 0}
+    want, last = set(), {}
+    for rule, seq, s in sorted(rows, key=lambda x: (x[0], x[2], x[1])):
+        if rule not in last or s - last[rule] >= wait[rule]:
+            last[rule] = s
+            want.add((rule, seq))
+    assert {(x.rule, x.seq) for x in alerts.cooldown(df, wait).collect()} == want
+    assert alerts.cooldown(df.limit(0), wait).count() == 0

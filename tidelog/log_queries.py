@@ -212,15 +212,32 @@ def vw_suggest(spark, d):
     return views.suggest(names, "vc-1", order="name").select("name")
 
 
-@query()
+CLUSTER_SQL = r"""WITH RECURSIVE toks AS (SELECT seq, line, list_filter(string_split_regex(line, '[ \t\n\f\r=:]'), lambda x: x <> '') AS t FROM log_entry),
+ rows AS MATERIALIZED (SELECT len(t) AS size, row_number() OVER (PARTITION BY len(t) ORDER BY seq) AS k, seq, line, t FROM toks WHERE len(t) > 0),
+ state(size, k, pats) USING KEY (size) AS (
+  SELECT size, CAST(1 AS BIGINT) AS k, [{'t': t, 'n': CAST(1 AS BIGINT), 'example': line, 'first_seq': seq}] AS pats FROM rows WHERE k = 1
+  UNION
+  SELECT size, k, CASE WHEN list_max(sims) >= 0.4 THEN list_transform(pats, lambda p, i: CASE WHEN i = list_position(sims, list_max(sims)) THEN {'t': list_transform(p.t, lambda x, j: CASE WHEN x = t[j] THEN x ELSE '{*}' END), 'n': p.n + 1, 'example': line, 'first_seq': p.first_seq} ELSE p END)
+    ELSE list_append(pats, {'t': t, 'n': CAST(1 AS BIGINT), 'example': line, 'first_seq': seq}) END
+  FROM (SELECT s.size, r.k, s.pats, r.t, r.line, r.seq, list_transform(s.pats, lambda p: len(list_filter(range(1, s.size + 1), lambda i: p.t[i] = r.t[i] OR p.t[i] = '{*}')) / s.size) AS sims FROM state s JOIN rows r ON r.size = s.size AND r.k = s.k + 1)),
+ found AS (SELECT array_to_string(p.t, ' ') AS template, p.n AS n, p.example AS example, p.first_seq AS first_seq FROM (SELECT unnest(pats) AS p FROM state))"""
+
+
+@query(f"{CLUSTER_SQL} SELECT * FROM found")
 def ana_cluster(spark, d):
-    """All patterns of log_entry's lines."""
+    """All patterns of log_entry's lines. The SQL folds each token count row by row."""
     return analytics.cluster(table(spark, d, "log_entry")).select("template", "n", "example", "first_seq")
 
 
-@query()
+@query(f"{CLUSTER_SQL} SELECT template, n FROM found ORDER BY n DESC, template LIMIT 20")
 def ana_top_patterns(spark, d):
-    return analytics.top_patterns(analytics.cluster(event_log(spark, d))).select("template", "n")
+    return analytics.top_patterns(analytics.cluster(table(spark, d, "log_entry"))).select("template", "n")
+
+
+@query(f"{CLUSTER_SQL} SELECT template, n, first_seq FROM found JOIN (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS i FROM log_entry) ON seq = first_seq WHERE i >= 1000")
+def ana_new_clusters(spark, d):
+    """Patterns that came up after the first thousand rows."""
+    return analytics.new_cluster_patterns(table(spark, d, "log_entry")).select("template", "n", "first_seq")
 
 
 @query(ev("""SELECT tick, actual, round(expected, 6) AS expected, round(z, 6) AS z FROM (

@@ -112,26 +112,37 @@ def cooldown(matched: DataFrame, seconds: dict[str, int]) -> DataFrame:
     """Per rule, in time order: a match fires if the rule never fired or its
     last firing is at least the cooldown ago.
 
-    The fold is sequential by nature. Matches of one instant are reduced to one
-    first; the instants of a rule then stream through its task in sorted runs
-    that spill, and only the time of the last firing is held.
+    Matches of one instant are reduced to one first. Where nothing matched for as
+    long as the cooldown, the next match fires whatever came before, so a rule
+    falls into spells that are folded apart; they are found over hours, with one
+    row an hour in order per rule. The instants of a spell stream through a task in
+    sorted runs that spill, and only the time of the last firing is held: a
+    rule that never rests that long is one spell.
     """
     per = matched.groupBy("rule", F.unix_micros("ts").alias("us")).agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
     always = [r for r, s in seconds.items() if s <= 0]
     free = matched.where(F.col("rule").isin(always)).select("rule", "seq", "ts") if always else None
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str, int] = {}
+        at, last = None, 0
         for b in batches:
             rows = []
-            for r, us, seq in zip(b["rule"], b["us"], b["seq"]):
-                if r not in last or us - last[r] >= seconds[r] * 1_000_000:
-                    last[r] = us
+            for r, spell, us, seq in zip(b["rule"], b["spell"], b["us"], b["seq"]):
+                if (r, spell) != at or us - last >= seconds[r] * 1_000_000:
+                    at, last = (r, spell), us
                     rows.append((r, seq))
             yield pd.DataFrame(rows, columns=["rule", "seq"])
 
     held = per.where(~F.col("rule").isin(always)) if always else per
-    fired = held.repartition("rule").sortWithinPartitions("rule", "us").mapInPandas(fold, "rule string, seq bigint")
+    waits = F.create_map(*[F.lit(x) for r, w in seconds.items() for x in (r, w * 1_000_000)]) if seconds else F.create_map().cast("map<string,bigint>")
+    hours = held.withColumn("b", F.floor(F.col("us") / 3_600_000_000))
+    inside, over = W.partitionBy("rule", "b").orderBy("us"), W.partitionBy("rule").orderBy("b")
+    last = hours.groupBy("rule", "b").agg(F.max("us").alias("m")).withColumn("m", F.lag("m").over(over))
+    before = F.coalesce(F.lag("us").over(inside), F.col("m"))
+    marked = hours.join(last, ["rule", "b"]).withColumn("p", before).withColumn("start", F.when(F.col("p").isNull() | (F.col("us") - F.col("p") >= waits[F.col("rule")]), F.col("us")))
+    carry = marked.groupBy("rule", "b").agg(F.max("start").alias("s")).withColumn("s", F.max("s").over(over.rowsBetween(W.unboundedPreceding, -1)))
+    spells = marked.join(carry, ["rule", "b"]).withColumn("spell", F.coalesce(F.max("start").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("s")))
+    fired = spells.select("rule", "spell", "us", "seq").repartition("rule", "spell").sortWithinPartitions("rule", "spell", "us").mapInPandas(fold, "rule string, seq bigint")
     out = fired.join(matched.select("rule", "seq", "ts").distinct(), ["rule", "seq"])
     return out.unionByName(free.select(out.columns)) if free is not None else out
 
