@@ -43,6 +43,15 @@ def test_runs_over_any_blocks_equal_brute_force(spark):
             assert {(x.stream, x.first_id, x.last_id, x.event_count) for x in got.collect()} == want, block
 
 
+def test_keys_keep_all_digits_where_a_block_begins_with_a_report(spark):
+    ev = [("t", f"s{k}", i, "same", None, 1, i, i, i == 110, 7) for k in range(5) for i in range(200)]
+    ev = [(*e[:3], None if e[8] else e[3], *e[4:]) for e in ev]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # blocks of a stream in several tasks
+    got = R.collapse(spark.createDataFrame(ev, S), block=10)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.stream, r.first_id, r.last_id, r.event_count) for r in got.collect()} == {(f"s{k}", 0, 199, 200) for k in range(5)}
+
+
 def brute_similar(events, theta, gap):
     """Equal neighbours first; then, of all neighbouring runs whose touching events are alike and near, the most similar ones again and again."""
     runs = []

@@ -111,6 +111,10 @@ def collapse(events: DataFrame, *, max_gap_us: int | None = None, block: int = B
     """
     names = [x.split()[0] for x in RUN.split(", ")]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        # objects: a column of keys with gaps would else become floats and lose digits
+        return pd.DataFrame(rows, columns=names, dtype=object)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         at = None
@@ -135,11 +139,11 @@ def collapse(events: DataFrame, *, max_gap_us: int | None = None, block: int = B
                     at = (s, st, bl)
                 held.append((i, key, frozenset(toks) if toks is not None else None, weight, first, last, rep))
             if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=names)
+                yield frame(out)
                 out.clear()
         if held:
             close()
-        yield pd.DataFrame(out, columns=names)
+        yield frame(out)
 
     ready = events.select(
         "source_table", "stream", F.floor(F.col("id") / block).alias("block"), "id",
