@@ -288,7 +288,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     found: ``run_words`` is the longest stretch of the passage that such windows
     cover, ``aligned_words`` how many words they cover, ``edits`` the fewest of
     one window. Items are searched ``MAX_PASSAGE_CHARS`` at a time; test sets
-    are small and fixed. Null or empty texts and passages shorter than
+    are small and fixed. Null or empty texts, null ids and passages shorter than
     ``min_words`` yield nothing; repeated item rows yield one row. Documents of
     any length are searched whole.
     """
@@ -296,7 +296,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     known = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(passage).alias("p")).where("p is not null").distinct()
     size = known.agg(F.coalesce(F.sum(F.length("p")), F.lit(0))).collect()[0][0]
     parts = max(1, -(-2 * size // MAX_PASSAGE_CHARS) if size > MAX_PASSAGE_CHARS else 1)
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t <> ''")
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t <> '' and d is not null")
     out = None
     for part in range(parts):
         mine = known if parts == 1 else known.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
