@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +157,38 @@ def test_bounded_patterns_and_leading_ones(log_rows):
     assert analytics.new_leading_patterns(rows, 0.5, learning=3).count() == 0
     assert {r.template for r in analytics.new_cluster_patterns(rows, 0.5, learning=3).collect()} == {"q", "u v w z"}
     assert analytics.snapshot(rows)["new_patterns"].count() == 0
+
+
+def folded(lines, threshold=0.4):
+    """Patterns line by line, against every pattern."""
+    groups = {}
+    for i, x in enumerate(lines):
+        if toks := analytics.split(x or ""):
+            groups.setdefault(len(toks), analytics._Patterns(threshold)).take(toks, i, x, i)
+    return sorted((" ".join(p[0]), p[1], p[2], p[3], p[4]) for g in groups.values() for p in g.found)
+
+
+def test_cluster_counted_where_read(log_rows):
+    # behind the head: lines that agree, others, new patterns, and an earlier pattern that gets wide enough for lines counted for a later one
+    lines = ["a b c d", "p q r d", "a b c e", "p q s d", "", None, "z"] * 3 + ["p q t d", "a x y d", "p q t d", "p w v d", "y z", "z", "z z", "k=z:{*}", "k=z:1", "p q r f"] * 4 + [f"u{i % 7} v x{i} {i % 3}" for i in range(40)]
+    for threshold, heads in ((0.4, ((65_536, 256), (5, 1), (21, 2), (40, 4))), (1.0, ((14, 1),)), (0.25, ((14, 1),))):
+        want = folded(lines, threshold)
+        for head, least in heads:
+            got = analytics.cluster(log_rows(lines), threshold, head=head, least=least).collect()
+            assert sorted((r.template, r.n, r.example, r.first_seq, r.last_ts.minute * 60 + r.last_ts.second) for r in got) == want
+
+
+def test_cluster_steals_back(log_rows):
+    # "b b x y" is counted for the second pattern until the first one gets wide
+    lines = ["a b c d", "b b x y"] + ["b b x y"] * 5 + ["a b x d", "a b c y", "e b x y", "b b x y", "b b x y"]
+    assert folded(lines, 0.5) == [("b b x y", 6, "b b x y", 1, 6), ("{*} b {*} {*}", 6, "b b x y", 0, 11)]
+    got = analytics.cluster(log_rows(lines), 0.5, head=3, least=1).collect()
+    assert sorted((r.template, r.n, r.example, r.first_seq, r.last_ts.minute * 60 + r.last_ts.second) for r in got) == folded(lines, 0.5)
+
+
+def test_cluster_of_many_patterns(spark):
+    """A pattern for each line: steps in proportion to the lines, not to their square."""
+    rows = spark.range(40_000).select(F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"), F.concat(F.lit("id-"), F.col("id") % 30_000).alias("line"))
+    began = time.monotonic()
+    assert analytics.cluster(rows).agg(F.count("n"), F.sum("n")).first() == (30_000, 40_000)
+    assert time.monotonic() - began < 30

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import insort
+from collections import Counter
+from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions import rx
-from tidelog.model import is_error_analytics, label, row_index
+from tidelog.model import BLOCK, is_error_analytics, label, row_index
+from tidelog.runtime import cut, drop_cut, micros
 
 LATENCY = r"(?i)(?:duration|latency|took|elapsed|time)[=: ]+(\d+(?:\.\d+)?)\s*(ms|s|us)"
 # Name and pattern of the default metrics; group 1 is the value.
@@ -58,35 +63,207 @@ class _Patterns:
         return self.found[-1]
 
 
-def cluster(df: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """Patterns of lines by greedy positional similarity in arrival order.
+def split(line: str) -> list[str]:
+    """As :func:`tokens`, in Python."""
+    for x in "\t\n\f\r=:":
+        line = line.replace(x, " ")
+    return [x for x in line.split(" ") if x]
 
-    A line joins the first pattern of its token count with the strictly highest
-    similarity, if that reaches the threshold. Since patterns never cross token
-    counts, counts are the unit of parallel work; rows stream through a task in
-    order and only the patterns are held. The cap on patterns and its eviction
-    belong to a bounded buffer and don't apply here: all patterns come out.
-    """
-    rows = df.select("seq", "line", "ts", tokens(F.col("line")).alias("toks")).where(F.size("toks") > 0).withColumn("size", F.size("toks"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = _Patterns(threshold), None
+class _Index:
+    """As :class:`_Patterns`, without a look at every pattern.
 
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame([(" ".join(p[0]), p[1], p[2], p[3], p[4]) for p in held.found], columns=["template", "n", "example", "first_seq", "last_ts"])
+    A pattern that agrees with a line throughout is looked up by its fixed
+    tokens, once for each set of fixed positions; the most similar one is among
+    those that hold a token of the line where the line has it, and the one with
+    most wild positions. The first of equals wins in both.
+    """
 
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.found: list[list[str]] = []
+        self.wild: list[int] = []
+        self.fixed: dict[tuple[int, ...], tuple[Callable, dict]] = {}
+        self.holders: dict[tuple[int, str], set[int]] = {}
+        self.widest = (0, 0)
+
+    def add(self, toks: list[str]) -> int:
+        self.found.append(toks)
+        self.wild.append(0)
+        self._enter(len(self.found) - 1)
+        return len(self.found) - 1
+
+    def _enter(self, k: int) -> None:
+        toks = self.found[k]
+        at = tuple(j for j, x in enumerate(toks) if x != WILD)
+        if at not in self.fixed:
+            self.fixed[at] = (itemgetter(*at) if at else lambda _: (), {})
+        get, keys = self.fixed[at]
+        insort(keys.setdefault(get(toks), []), k)
+        for j in at:
+            self.holders.setdefault((j, toks[j]), set()).add(k)
+        self.wild[k] = len(toks) - len(at)
+        self.widest = max(self.widest, (self.wild[k], -k))
+
+    def _leave(self, k: int) -> None:
+        toks = self.found[k]
+        at = tuple(j for j, x in enumerate(toks) if x != WILD)
+        get, keys = self.fixed[at]
+        same = keys[get(toks)]
+        same.remove(k)
+        if not same:
+            del keys[get(toks)]
+        if not keys:
+            del self.fixed[at]
+        for j in at:
+            self.holders[j, toks[j]].discard(k)
+
+    def agreeing(self, toks: list[str]) -> int | None:
+        """The first pattern that agrees with every token."""
+        best = None
+        for get, keys in self.fixed.values():
+            same = keys.get(get(toks))
+            if same and (best is None or same[0] < best):
+                best = same[0]
+        return best
+
+    def take(self, toks: list[str]) -> tuple[int, bool]:
+        """The pattern a line joins, and whether that made or changed it."""
+        k = self.agreeing(toks)
+        if k is not None:
+            return k, False
+        hits = Counter(k for j, x in enumerate(toks) for k in self.holders.get((j, x), ()))
+        same, k = max([self.widest, *((n + self.wild[k], -k) for k, n in hits.items())])
+        if same == 0 or same / len(toks) < self.threshold:
+            return self.add(toks), True
+        self._leave(-k)
+        self.found[-k] = [a if a == b else WILD for a, b in zip(self.found[-k], toks)]
+        self._enter(-k)
+        return -k, True
+
+
+# Lines, tallies of a pattern (k, no toks) and patterns (k, toks) of one token count.
+_PARTS = pa.schema([("size", pa.int32()), ("k", pa.int64()), ("n", pa.int64()), ("first_seq", pa.int64()), ("seq", pa.int64()), ("line", pa.string()), ("us", pa.int64()), ("toks", pa.list_(pa.string())), ("changed", pa.bool_())])
+_PARTS_DDL = "size int, k bigint, n bigint, first_seq bigint, seq bigint, line string, us bigint, toks array<string>, changed boolean"
+HELD_ROWS = 10_000
+
+
+def _parts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), HELD_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + HELD_ROWS]), _PARTS)], schema=_PARTS)
+
+
+def _later(seq: int | None, last: int | None) -> bool:
+    return last is None or (seq is not None and seq >= last)
+
+
+def _settle(rows: DataFrame, known: list, settled: set[tuple[int, int]], threshold: float) -> DataFrame:
+    """Lines as tallies per task where the first of the ``known`` patterns that
+    agrees with the whole line is ``settled``; the others as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, _Index] = {}
+        for size, _, toks in known:
+            groups.setdefault(size, _Index(threshold)).add(toks)
+        tallies: dict[tuple[int, int], list] = {}
+        for b in batches:
+            out = []
+            for q, line, us in zip(*(c.to_pylist() for c in b.columns)):
+                toks = split(line)
+                size = len(toks)
+                if not size:
+                    continue
+                at = (size, groups[size].agreeing(toks)) if size in groups else None
+                if at not in settled:
+                    out.append((size, None, 1, q, q, line, us, None, False))
+                elif (t := tallies.get(at)) is None:
+                    tallies[at] = [1, q, line, us]
+                else:
+                    t[0] += 1
+                    if q >= t[1]:
+                        t[1:] = q, line, us
+            yield from _parts(out)
+        yield from _parts([(*at, n, None, q, line, us, None, False) for at, (n, q, line, us) in tallies.items()])
+
+    return rows.mapInArrow(run, _PARTS_DDL)
+
+
+def _fold(parts: DataFrame, threshold: float) -> DataFrame:
+    """The patterns after all ``parts``: those given come first, then lines in
+    order, each token count in one task. ``changed``: given, and wider now."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, facts, size = _Index(threshold), [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(facts), HELD_ROWS):
+                yield from _parts([(size, k, *facts[k][:5], held.found[k], facts[k][5]) for k in range(i, min(i + HELD_ROWS, len(facts)))])
+
+        given = 0
         for b in batches:
-            for s, q, line, ts, toks in zip(b["size"], b["seq"], b["line"], b["ts"], b["toks"]):
+            for s, k, n, first, q, line, us, toks, _ in zip(*(c.to_pylist() for c in b.columns)):
                 if s != size:
-                    if held.found:
-                        yield frame()
-                    held, size = _Patterns(threshold), s
-                held.take(toks, q, line, ts)
-        if held.found:
-            yield frame()
-
-    ordered = rows.repartition("size").sortWithinPartitions("size", "seq")
-    return ordered.mapInPandas(run, "template string, n bigint, example string, first_seq bigint, last_ts timestamp")
+                    yield from close()
+                    held, facts, size, given = _Index(threshold), [], s, 0
+                if toks is not None:
+                    held.add(toks)
+                    facts.append([n, first, q, line, us, False])
+                    given += 1
+                    continue
+                new = False
+                if k is None:
+                    k, new = held.take(split(line))
+                    if k == len(facts):
+                        facts.append([n, first, q, line, us, False])
+                        continue
+                f = facts[k]
+                f[0] += n
+                f[5] = f[5] or (new and k < given)
+                if _later(q, f[2]):
+                    f[2:5] = q, line, us
+        yield from close()
+
+    pattern = F.col("toks").isNotNull()
+    return parts.repartition("size").sortWithinPartitions("size", ~pattern, F.when(pattern, F.col("k")), "seq").mapInArrow(run, _PARTS_DDL)
+
+
+def cluster(df: DataFrame, threshold: float = 0.4, head: int = BLOCK, least: int = 256) -> DataFrame:
+    """Patterns of lines by greedy positional similarity in arrival order.
+
+    A line joins the first pattern of its token count with the strictly highest
+    similarity, if that reaches the threshold. A line that a pattern agrees with
+    throughout changes nothing, and patterns only get wider. So the first
+    ``head`` rows are folded; later lines that one of these patterns agrees with
+    are counted where they are read, and only the others are folded, each token
+    count in a task. Where an earlier pattern has got wider meanwhile, so that it
+    may agree with lines counted for a later one, the lines of the later one are
+    folded too, as are those of token counts with fewer than ``least`` rows in
+    the head. The cap on patterns and its eviction belong to a bounded buffer
+    and don't apply here: all patterns come out.
+    """
+    rows = df.where("line is not null").select("seq", "line", micros("ts").alias("us"))
+    n, last = rows.select("seq").where("seq is not null").orderBy("seq").limit(head).agg(F.count("seq"), F.max("seq")).first()
+    if n < head:
+        return _shown(_fold(_settle(rows, [], set(), threshold), threshold))
+    first = cut(_fold(_settle(rows.where(F.col("seq").isNull() | (F.col("seq") <= last)), [], set(), threshold), threshold))
+    known = first.select("size", "k", "toks", F.sum("n").over(W.partitionBy("size")).alias("n")).orderBy("size", "k").collect()
+    settled = {(p.size, p.k) for p in known if p.n >= least}
+    given = [(p.size, p.k, p.toks) for p in known]
+    while True:
+        found = cut(_fold(first.union(_settle(rows.where(F.col("seq") > last), given, settled, threshold)), threshold))
+        wider: dict[int, list] = {}
+        for p in found.where("changed").select("size", "k", "toks").collect():
+            wider.setdefault(p.size, []).append((p.k, p.toks))
+        open_ = {(s, k) for s, k, toks in given if (s, k) in settled and any(j < k and all(a == b or WILD in (a, b) for a, b in zip(w, toks)) for j, w in wider.get(s, ()))}
+        if not open_:
+            drop_cut(first)
+            return _shown(found)
+        drop_cut(found)
+        settled -= open_
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select(F.array_join("toks", " ").alias("template"), "n", F.col("line").alias("example"), "first_seq", F.timestamp_micros("us").alias("last_ts"))
 
 
 BUFFER_ROWS = 50_000
