@@ -192,3 +192,16 @@ def test_cluster_of_many_patterns(spark):
     began = time.monotonic()
     assert analytics.cluster(rows).agg(F.count("n"), F.sum("n")).first() == (30_000, 40_000)
     assert time.monotonic() - began < 30
+
+
+def test_new_clusters_number_no_rows(spark, log_rows):
+    """The first row that isn't learned is looked for; rows without a line count."""
+    rows = log_rows(["a", None, "", "b", "a", "c c", "b", "d d d"])
+    for learning, want in ((0, {"b", "c c", "d d d"}), (3, {"b", "c c", "d d d"}), (4, {"c c", "d d d"}), (7, {"d d d"}), (8, set()), (100, set())):
+        assert {r.template for r in analytics.new_cluster_patterns(rows, learning=learning).collect()} == want
+    many = spark.range(40_000).select((F.col("id") * 3).alias("seq"), F.timestamp_seconds("id").alias("ts"), F.concat(F.lit("id-"), F.col("id") % 30_000).alias("line"))
+    began = time.monotonic()
+    new = analytics.new_cluster_patterns(many)
+    assert new.agg(F.count("n"), F.sum("n"), F.min("first_seq")).first() == (29_000, 38_000, 3000)
+    assert time.monotonic() - began < 30
+    assert "Window" not in new._jdf.queryExecution().executedPlan().toString()

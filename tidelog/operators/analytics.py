@@ -344,8 +344,8 @@ def new_leading_patterns(df: DataFrame, threshold: float = 0.4, learning: int =
 
 def new_cluster_patterns(df: DataFrame, threshold: float = 0.4, learning: int = 1000) -> DataFrame:
     """Patterns whose first line is number ``learning`` or later (at least 1)."""
-    first = row_index(df, name="_i").select(F.col("seq").alias("first_seq"), "_i")
-    return cluster(df, threshold).join(first, "first_seq").where(F.col("_i") >= max(learning, 1)).drop("_i")
+    at = df.select(F.col("seq").alias("_at")).where("_at is not null").orderBy("_at").offset(max(learning, 1)).limit(1)
+    return cluster(df, threshold).join(F.broadcast(at), F.col("first_seq") >= F.col("_at")).drop("_at")
 
 
 def top_patterns(patterns: DataFrame, n: int = 20) -> DataFrame:
