@@ -191,7 +191,7 @@ def test_cluster_of_many_patterns(spark):
     rows = spark.range(40_000).select(F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"), F.concat(F.lit("id-"), F.col("id") % 30_000).alias("line"))
     began = time.monotonic()
     assert analytics.cluster(rows).agg(F.count("n"), F.sum("n")).first() == (30_000, 40_000)
-    assert time.monotonic() - began < 30
+    assert time.monotonic() - began < 60
 
 
 def test_new_clusters_number_no_rows(spark, log_rows):
@@ -203,5 +203,16 @@ def test_new_clusters_number_no_rows(spark, log_rows):
     began = time.monotonic()
     new = analytics.new_cluster_patterns(many)
     assert new.agg(F.count("n"), F.sum("n"), F.min("first_seq")).first() == (29_000, 38_000, 3000)
-    assert time.monotonic() - began < 30
+    assert time.monotonic() - began < 60
     assert "Window" not in new._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_patterns_of_many(spark):
+    """Counts of patterns that come up behind the head are whole, ties go by template."""
+    late = F.col("id") >= 90_000
+    line = F.when(F.col("id") % 4 == 0, F.concat(F.lit("x"), F.col("id"))).when(late & (F.col("id") % 4 == 1), "late").when(late & (F.col("id") % 4 == 2), "later").otherwise(F.concat(F.lit("took "), F.col("id"), F.lit(" ms")))
+    rows = spark.range(130_000).select(F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"), line.alias("line"))
+    began = time.monotonic()
+    top = [(r.template, r.n) for r in analytics.top_patterns(analytics.cluster(rows), 5).collect()]
+    assert top == [("took {*} ms", 77_500), ("late", 10_000), ("later", 10_000), ("x0", 1), ("x100", 1)]
+    assert time.monotonic() - began < 90
